@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,7 +76,7 @@ def text_slices(batch: pa.RecordBatch, max_bytes: int) -> Iterator[tuple[pa.Reco
     column = batch.column(batch.num_columns - 1)
     if not len(column):
         return
-    ends = np.cumsum(np.array(pa.compute.binary_length(column)).astype(np.int64))
+    ends = np.cumsum(np.array(pc.binary_length(column)).astype(np.int64))
     at = 0
     while at < len(ends):
         done = ends[at - 1] if at else 0

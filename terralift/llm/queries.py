@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralift.llm.common import table
+from terralift.llm import op1_quality, op6_toxicity
+from terralift.llm.common import is_held_out, table
 from terralift.llm.op4_topk import exact_topk
 
 
+def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = op1_quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = op1_quality.score_quality(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = op6_toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = op6_toxicity.score_toxicity(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_segments")
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     found = exact_topk(rows.where(F.col("vec_id") % 50 == 0), rows, k=5)
@@ -31,5 +46,9 @@ WITH v AS (
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
-QUERIES = {"op4_exact_topk": op4_exact_topk}
+QUERIES = {
+    "op1_quality_bradley_terry": op1_quality_bradley_terry,
+    "op4_exact_topk": op4_exact_topk,
+    "op6_toxicity_segments": op6_toxicity_segments,
+}
 ORACLE_SQL = {"op4_exact_topk": OP4_SQL}
