@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralift.llm import op1_quality, op6_toxicity
+from terralift.llm import op1_quality, op3_mixing, op5_bpe, op6_toxicity, op8_simhash, op10_cws
 from terralift.llm.common import is_held_out, table
 from terralift.llm.op4_topk import exact_topk
 
@@ -17,6 +18,24 @@ def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
+def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_cws.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op5_bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+def op8_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op8_simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", op8_simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = op6_toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -48,7 +67,11 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 
 QUERIES = {
     "op1_quality_bradley_terry": op1_quality_bradley_terry,
+    "op3_source_mixing": op3_source_mixing,
     "op4_exact_topk": op4_exact_topk,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_toxicity_segments": op6_toxicity_segments,
+    "op8_simhash_gray": op8_simhash_gray,
+    "op10_weighted_sampling": op10_weighted_sampling,
 }
 ORACLE_SQL = {"op4_exact_topk": OP4_SQL}
