@@ -34,29 +34,32 @@ def _long(x: Column) -> Column:
     return F.floor(x).cast("long")
 
 
-def permuted(x: Column, n: Column, salt: Column, rounds: int = 3) -> Column:
-    """A permutation of 0..n-1 for each ``n`` below 2**45 and salt: affine steps, each mixed on the largest power of two."""
-
-    def multiplier() -> Column:
-        out = None
-        for bits, primes in reversed(PRIMES):
-            pick = F.lit(primes[-1])
-            for p in reversed(primes[:-1]):
-                pick = F.when(n % p != 0, F.lit(p)).otherwise(pick)
-            out = pick if out is None else F.when(n < (1 << bits), pick).otherwise(out)
-        return out.cast("long")
-
-    power = F.floor(F.log2(n.cast("double") + 0.5)).cast("int")
-    top = F.shiftleft(F.lit(1).cast("long"), power)
-    half = F.greatest(F.lit(1), (power / 2).cast("int"))
+def permutation_columns(rows: DataFrame, n: Column, prefix: str) -> DataFrame:
+    """Columns that ``permuted`` needs of each range; added to the few rows of sources, not to every slot."""
+    multiplier, m = None, F.col(f"{prefix}n")
+    for bits, primes in reversed(PRIMES):
+        pick = F.lit(primes[-1])
+        for p in reversed(primes[:-1]):
+            pick = F.when(m % p != 0, F.lit(p)).otherwise(pick)
+        multiplier = pick if multiplier is None else F.when(m < (1 << bits), pick).otherwise(multiplier)
+    power = F.floor(F.log2(m.cast("double") + 0.5)).cast("int")
+    rows = rows.withColumn(f"{prefix}n", n.cast("long"))
+    top = F.call_function("shiftleft", F.lit(1).cast("long"), power)
+    return rows.withColumns({f"{prefix}by": multiplier.cast("long"), f"{prefix}top": top, f"{prefix}half": F.greatest(F.lit(1), (power / 2).cast("int"))})
+
+
+def permuted(rows: DataFrame, name: str, prefix: str, salt: Column, rounds: int = 3) -> DataFrame:
+    """Column ``name``, below ``n``, sent through a permutation of 0..n-1 for each ``n`` below 2**45 and salt.
+
+    Rounds are affine steps, each mixed on the largest power of two. Steps are columns of their own, as nested
+    expressions would double with each.
+    """
+    z, n = F.col("__z"), F.col(f"{prefix}n")
+    rows = rows.withColumn("__salt", salt.cast("long"))
     for k in range(rounds):
-        x = (x * multiplier() + (salt * 1000003 + (k + 1) * 7919) % n) % n
-        x = F.when(x < top, x.bitwiseXOR(_right(x, half))).otherwise(x)
-    return x
-
-
-def _right(x: Column, by: Column) -> Column:
-    return F.call_function("shiftright", x, by)
+        rows = rows.withColumn("__z", (F.col(name) * F.col(f"{prefix}by") + (F.col("__salt") * 1000003 + (k + 1) * 7919) % n) % n)
+        rows = rows.withColumn(name, F.when(z < F.col(f"{prefix}top"), z.bitwiseXOR(F.call_function("shiftright", z, F.col(f"{prefix}half")))).otherwise(z))
+    return rows.drop("__salt", "__z")
 
 
 def targets(sized: DataFrame, most: int = 3) -> DataFrame:
@@ -90,16 +93,19 @@ def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(base, (rows["rank"] == base["r"]) & (rows["bucket"] == base["b"])).withColumn("at", F.col("base") + F.col("inside")).drop("base", "inside", "bucket", "r", "b")
 
 
-def slots(sources: DataFrame, shard: int = SHARD, per_row: int = 8192) -> DataFrame:
+def slots(sources: DataFrame, shard: int | None = SHARD, per_row: int = 8192) -> DataFrame:
     """``rank, block, shard``: every slot of the run with the block it takes and the output shard it goes to."""
     lead = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     used = sources.where("slots > 0").select("rank", "slots", "blocks", F.coalesce(F.sum("slots").over(lead), F.lit(0)).alias("first"), F.sum("slots").over(everything).alias("all"))
+    used = permutation_columns(permutation_columns(used, F.col("blocks"), "b_"), F.col("all"), "a_")
     runs = used.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), _long((F.col("slots") - 1) / per_row)))).repartition("rank", "run")
     rows = runs.withColumn("j", F.explode(F.sequence(F.col("run") * per_row, F.least((F.col("run") + 1) * per_row, F.col("slots")) - 1)))
-    passed = _long(F.col("j") / F.col("blocks"))
-    block = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("rank") * 31 + passed)
-    return rows.select("rank", block.alias("block"), _long(permuted(F.col("first") + F.col("j"), F.col("all"), F.lit(5)) / shard).alias("shard"))
+    rows = rows.withColumns({"block": F.col("j") % F.col("blocks"), "place": F.col("first") + F.col("j"), "pass": _long(F.col("j") / F.col("blocks"))})
+    rows = permuted(rows, "block", "b_", F.col("rank") * 31 + F.col("pass"))
+    if shard:
+        rows = permuted(rows, "place", "a_", F.lit(5))
+    return rows.select("rank", "block", _long(F.col("place") / (shard or 1)).alias("shard"))
 
 
 def _uses(docs: DataFrame, keep_text: bool, block: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from terralift.llm.common import map_text
 
 NONE = 1 << 62
-MOST_KEPT = 250_000
+MOST_KEPT = 300_000
 LONGEST_KEPT = 48
 
 
@@ -40,69 +40,76 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n < 2:
         raise ValueError(f"the vocabulary lacks byte {piece!r}")
+    get = ranks.get
     bits = n.bit_length()
-    size = 1 << (n - 1).bit_length()
     low = (1 << bits) - 1
-    tree = [NONE] * (2 * size)
-    get = ranks.get
-    for i in range(n - 1):
+    size = n - 1  # leaves; any number will do, as each leaf holds its own position
+    tree = [NONE] * size
+    for i in range(size):
         rank = get(piece[i : i + 2])
-        if rank is not None:
-            tree[size + i] = rank << bits | i
+        tree.append(NONE if rank is None else rank << bits | i)
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
     following = list(range(1, n + 2))
     before = list(range(-1, n))
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            best = a if a < b else b
-            if tree[k] == best:
-                break
-            tree[k] = best
-            k >>= 1
-
-    def pair(i: int) -> int:
-        j = following[i]
-        if j >= n:
-            return NONE
-        rank = get(piece[i : following[j]])
-        return NONE if rank is None else rank << bits | i
-
-    while tree[1] < NONE:
-        i = tree[1] & low
+    while (best := tree[1]) < NONE:
+        i = best & low
         j = following[i]
         after = following[j]
         following[i] = after
+        leaves = [(j, NONE)]
         if after < n:
             before[after] = i
-        put(j, NONE)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+            rank = get(piece[i : following[after]])
+            leaves.append((i, NONE if rank is None else rank << bits | i))
+        else:
+            leaves.append((i, NONE))
+        h = before[i]
+        if h >= 0:
+            rank = get(piece[h:after])
+            leaves.append((h, NONE if rank is None else rank << bits | h))
+        for leaf, value in leaves:
+            k = leaf + size
+            if k >= 2 * size:
+                continue  # the last byte starts no pair
+            tree[k] = value
+            while k > 1:
+                a, b = tree[k], tree[k ^ 1]
+                if b < a:
+                    a = b
+                k >>= 1
+                if tree[k] == a:
+                    break
+                tree[k] = a
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : following[i]]])
-        i = following[i]
+        after = following[i]
+        out.append(ranks[piece[i:after]])
+        i = after
     return out
 
 
 class _Pieces(dict):
-    """Packed ids of matches, made when first asked for; emptied when full."""
+    """Packed ids of matches, made when first asked for.
+
+    When full, all but the matches asked for since the last time are dropped: ``aged`` holds the former table, from
+    which matches still in use come back.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.ranks = ranks
+        self.packed = [n.to_bytes(4, "little") for n in range(max(ranks.values()) + 1)]
+        self.aged: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(merge_piece(piece.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes()
+        packed = self.aged.get(piece)
+        if packed is None:
+            packed = b"".join(map(self.packed.__getitem__, merge_piece(piece.encode("utf-8", "surrogatepass"), self.ranks)))
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= MOST_KEPT:
+                self.aged = dict(self)
                 self.clear()
             self[piece] = packed
         return packed

@@ -65,6 +65,51 @@ WITH v AS (
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
+def _op3_sql() -> str:
+    """The same mix in DuckDB; its permutation serves ranges below 2**31, as small tables have."""
+    rounds, last = [], "x0"
+    for k in range(3):
+        rounds.append(f"a{k} AS (SELECT *, (y * CASE WHEN n % 2147483629 <> 0 THEN 2147483629 ELSE 2147483587 END + (salt * 1000003 + {(k + 1) * 7919}) % n) % n AS z FROM {last})")
+        rounds.append(f"x{k + 1} AS (SELECT * EXCLUDE (y, z), CASE WHEN z < top THEN xor(z, z >> half) ELSE z END AS y FROM a{k})")
+        last = f"x{k + 1}"
+    return rf"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source
+), soon AS (
+  SELECT *, CAST((rank - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) AS stop, stop / weight AS soon FROM totals
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(stop) OVER (ORDER BY soon, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY soon, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM soon
+), sources AS (
+  SELECT source, rank, source_size, least(stop, weight * coalesce(max(CASE WHEN level <= soon THEN level END) OVER (), CAST('inf' AS DOUBLE))) AS target,
+    greatest(1, CAST(ceil(source_size / {op3_mixing.BLOCK}) AS BIGINT)) AS blocks,
+    CASE WHEN source_size = 0 THEN 0 ELSE CAST(least(round(target * blocks / source_size), blocks * 3) AS BIGINT) END AS slots
+  FROM levels
+), buckets AS (
+  SELECT greatest(1, CAST(ceil(count(*) / {op3_mixing.BUCKET_ROWS}) AS BIGINT)) AS n FROM sized
+), placed AS (
+  SELECT s.doc_id, s.size, t.rank, t.source_size, t.target,
+    coalesce(sum(s.size) OVER (PARTITION BY t.rank ORDER BY coalesce(s.doc_id, 0) % b.n, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM sized s JOIN sources t ON s.source IS NOT DISTINCT FROM t.source CROSS JOIN buckets b WHERE s.size > 0
+), pieces AS (
+  SELECT *, unnest(range(CAST(pos // {op3_mixing.BLOCK} AS BIGINT), CAST((pos + size - 1) // {op3_mixing.BLOCK} + 1 AS BIGINT))) AS block FROM placed
+), x0 AS (
+  SELECT rank, j % blocks AS y, blocks AS n, rank * 31 + j // blocks AS salt, CAST(floor(log2(blocks + 0.5)) AS INTEGER) AS power,
+    CAST(1 AS BIGINT) << power AS top, greatest(1, power // 2) AS half
+  FROM (SELECT rank, blocks, unnest(range(slots)) AS j FROM sources)
+), {", ".join(rounds)}, uses AS (
+  SELECT rank, y AS block, count(*) AS uses FROM {last} GROUP BY 1, 2
+)
+SELECT p.doc_id, p.size, p.source_size, p.target,
+  CAST(sum((least(p.pos + p.size, (p.block + 1) * {op3_mixing.BLOCK}) - greatest(p.pos, p.block * {op3_mixing.BLOCK})) * coalesce(u.uses, 0)) AS BIGINT) AS taken
+FROM pieces p LEFT JOIN uses u USING (rank, block) GROUP BY p.rank, p.pos, p.doc_id, p.size, p.source_size, p.target
+UNION ALL
+SELECT s.doc_id, s.size, t.source_size, t.target, 0 FROM sized s JOIN sources t ON s.source IS NOT DISTINCT FROM t.source WHERE s.size = 0
+"""
+
+
 QUERIES = {
     "op1_quality_bradley_terry": op1_quality_bradley_terry,
     "op3_source_mixing": op3_source_mixing,
@@ -74,4 +119,4 @@ QUERIES = {
     "op8_simhash_gray": op8_simhash_gray,
     "op10_weighted_sampling": op10_weighted_sampling,
 }
-ORACLE_SQL = {"op4_exact_topk": OP4_SQL}
+ORACLE_SQL = {"op3_source_mixing": _op3_sql(), "op4_exact_topk": OP4_SQL}
