@@ -74,9 +74,10 @@ def signatures(texts: list[str], samples: int = SAMPLES) -> np.ndarray:
             step[more] = (t + np.float32(1)) - value[more]
         np.multiply(step, rr, out=step)
         np.subtract(ln_c[ic[part]], step, out=step)
-        first = np.flatnonzero(np.concatenate([[True], of[part][1:] != of[part][:-1]]))
-        who = of[part][first]
-        best[who] = np.minimum(best[who], np.minimum.reduceat(step, first, axis=0))
+        cuts = [0, *(np.flatnonzero(np.diff(of[part])) + 1).tolist(), len(step)]
+        for a, z in zip(cuts, cuts[1:], strict=False):  # a plain minimum runs over whole vectors, unlike reduceat
+            own = best[of[at + a]]
+            np.minimum(own, step[a:z].min(0), out=own)
     bits = best.view(np.uint32).astype(np.uint64) << np.uint64(8) | np.arange(samples, dtype=np.uint64) % np.uint64(256)
     codes = (mix64(bits) >> np.uint64(48)).astype(np.uint16)
     codes[np.isinf(best[:, 0])] = 0
@@ -135,7 +136,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts
     filled = rows.select("part").distinct()  # at most one row a range
     before = filled.select("part", F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy())).alias("to"))
     ahead = heads.join(before, "part").select(F.col("to").alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("last"), F.lit(0).cast("long").alias("tie"), "text", F.lit(True).alias("ahead"))
-    dealt = rows.withColumn("ahead", F.lit(False)).unionByName(ahead).repartition(parts, "part")
+    # each range is one task's
+    dealt = rows.withColumn("ahead", F.lit(False)).unionByName(ahead).repartitionById(parts + 1, F.col("part"))
     return dealt.sortWithinPartitions("part", "ahead", "last", "doc_id", "tie").select("part", "doc_id", "ahead", "text")
 
 
