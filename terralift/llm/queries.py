@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralift.llm import op1_quality, op3_mixing, op5_bpe, op6_toxicity, op8_simhash, op10_cws
+from terralift.llm import op1_quality, op3_mixing, op5_bpe, op6_toxicity, op7_pii, op8_simhash, op9_html, op10_cws
 from terralift.llm.common import is_held_out, table
 from terralift.llm.op4_topk import exact_topk
 
@@ -31,6 +31,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op7_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op7_pii.find_pii(docs, op7_pii.fit(docs), keep=["doc_id"])
+
+
+def op9_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op8_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op8_simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", op8_simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -116,7 +125,9 @@ QUERIES = {
     "op4_exact_topk": op4_exact_topk,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_toxicity_segments": op6_toxicity_segments,
+    "op7_pii_tagger": op7_pii_tagger,
     "op8_simhash_gray": op8_simhash_gray,
+    "op9_html_line_blocks": op9_html_line_blocks,
     "op10_weighted_sampling": op10_weighted_sampling,
 }
 ORACLE_SQL = {"op3_source_mixing": _op3_sql(), "op4_exact_topk": OP4_SQL}
