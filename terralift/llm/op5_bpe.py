@@ -166,6 +166,17 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFra
     return map_text(docs, run, [T.StructField("ids", T.ArrayType(T.IntegerType()))], keep=keep)
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with ``ids array<int>`` and ``decodes``, whether the ids decode to the text's bytes."""
+
+    def run(texts: list[str]) -> dict[str, object]:
+        c = codec(path, pattern)
+        ids = [c.encode(t) for t in texts]
+        return {"ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids], "decodes": [c.decode(x) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]}
+
+    return map_text(docs, run, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decodes", T.BooleanType())], keep=keep)
+
+
 def decode(rows: DataFrame, path: str, pattern: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """The columns ``keep`` with ``bytes binary``, decoded from ``ids``; null ids decode to nothing."""
     import pyarrow as pa

@@ -270,3 +270,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], cut:
         return {"score": scan.probability(np.array(excess), np.array(sizes)), "n_segments": number}
 
     return map_text(docs, run, fields, keep=keep).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, cut: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``cut``; rows with null text pass."""
+    # the score travels under a name of its own, as documents may have a column "score"
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns])
+    scored = score_toxicity(renamed.withColumn("text", F.col("__doc_text")), model, keep=renamed.columns, cut=cut)
+    return scored.where("predicted = 0").select(*[F.col(f"__doc_{c}").alias(c) for c in docs.columns])

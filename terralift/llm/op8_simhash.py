@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,16 +223,33 @@ def hamming_links(nodes: DataFrame, max_bits: int = 4, tile: int = 4096) -> Data
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", keep: list[str] | None = None, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``doc_id, *keep, fp, component_id``: the smallest id reachable over links of at most ``max_bits`` bits."""
+    """``doc_id, *keep, fp, root, component_id``: the smallest id reachable over links of at most ``max_bits`` bits.
+
+    ``root`` is the smallest fingerprint of the component, as a signed integer.
+    """
     marked = materialize(with_fingerprints(docs, [doc_id, *(keep or [])], shingle))
     nodes = materialize(marked.groupBy("fp").agg(F.min(doc_id).alias("least")))
     found = connected_components(hamming_links(nodes.select("fp"), max_bits))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = materialize(rooted.join(named, "root").select("fp", "component_id"))
+    member = materialize(rooted.join(named, "root").select("fp", "root", "component_id"))
     return marked.join(member, "fp")
 
 
+def one_of_each_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the one of least id (rows without id last; ties
+    by a hash of the text), and one only of repeated rows."""
+    tied = docs.withColumn("__tie", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    groups = simhash_groups(tied, keep=["__tie"], shingle=shingle, max_bits=max_bits)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tie")).alias("one"))
+    stay = first.select(F.col("one.doc_id").alias("__id"), F.col("one.__tie").alias("__t"), F.col("one.none").alias("__none"))
+    rows = tied.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    stay = stay.withColumn("__k", F.coalesce("__id", F.lit(0)))
+    joined = rows.join(stay, (rows["__key"] == stay["__k"]) & (rows["__tie"] == stay["__t"]) & (rows["doc_id"].isNull() == stay["__none"]))
+    again = F.row_number().over(Window.partitionBy("__key", "__tie", "__none").orderBy(F.lit(0)))
+    return joined.withColumn("__again", again).where("__again = 1").select(*[docs[c] for c in docs.columns])
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

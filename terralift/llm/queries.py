@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralift.llm import op1_quality, op3_mixing, op5_bpe, op6_toxicity, op7_pii, op8_simhash, op9_html, op10_cws
+from terralift.llm import op1_quality, op2_suffix, op3_mixing, op5_bpe, op6_toxicity, op7_pii, op8_simhash, op9_html, op10_cws
 from terralift.llm.common import is_held_out, table
 from terralift.llm.op4_topk import exact_topk
 
@@ -18,6 +19,10 @@ def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -121,6 +126,7 @@ SELECT s.doc_id, s.size, t.source_size, t.target, 0 FROM sized s JOIN sources t
 
 QUERIES = {
     "op1_quality_bradley_terry": op1_quality_bradley_terry,
+    "op2_suffix_repeats": op2_suffix_repeats,
     "op3_source_mixing": op3_source_mixing,
     "op4_exact_topk": op4_exact_topk,
     "op5_byte_bpe": op5_byte_bpe,
@@ -129,5 +135,8 @@ QUERIES = {
     "op8_simhash_gray": op8_simhash_gray,
     "op9_html_line_blocks": op9_html_line_blocks,
     "op10_weighted_sampling": op10_weighted_sampling,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op3_source_mixing": _op3_sql(), "op4_exact_topk": OP4_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
