@@ -94,12 +94,17 @@ def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def slots(sources: DataFrame, shard: int | None = SHARD, per_row: int = 8192) -> DataFrame:
-    """``rank, block, shard``: every slot of the run with the block it takes and the output shard it goes to."""
+    """``rank, block, shard``: every slot of the run with the block it takes and the output shard it goes to.
+
+    Slots are made from runs of ``per_row``; the runs are dealt to a number of tasks that follows the slots, as the
+    engine sees only the few rows of runs.
+    """
+    tasks = max(1, -(-(sources.agg(F.sum("slots")).first()[0] or 0) // (16 * per_row)))
     lead = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     used = sources.where("slots > 0").select("rank", "slots", "blocks", F.coalesce(F.sum("slots").over(lead), F.lit(0)).alias("first"), F.sum("slots").over(everything).alias("all"))
     used = permutation_columns(permutation_columns(used, F.col("blocks"), "b_"), F.col("all"), "a_")
-    runs = used.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), _long((F.col("slots") - 1) / per_row)))).repartition("rank", "run")
+    runs = used.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), _long((F.col("slots") - 1) / per_row)))).repartition(tasks, "rank", "run")
     rows = runs.withColumn("j", F.explode(F.sequence(F.col("run") * per_row, F.least((F.col("run") + 1) * per_row, F.col("slots")) - 1)))
     rows = rows.withColumns({"block": F.col("j") % F.col("blocks"), "place": F.col("first") + F.col("j"), "pass": _long(F.col("j") / F.col("blocks"))})
     rows = permuted(rows, "block", "b_", F.col("rank") * 31 + F.col("pass"))
@@ -124,7 +129,8 @@ def _uses(docs: DataFrame, keep_text: bool, block: int, most: int) -> tuple[Data
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
     pieces = pieces.select("rank", "block", "at", "doc_id", "tie", "size", "source_size", "target", "source", (begin - F.col("at")).alias("begin"), (end - begin).alias("words"))
     uses = slots(sources).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("uses"))
-    return sized, sources, pieces.join(uses, ["rank", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    # the engine takes the slots for as few as the sources they are made of, and would broadcast them
+    return sized, sources, pieces.join(uses.hint("merge"), ["rank", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
 
 
 def mix_sizes(docs: DataFrame, block: int = BLOCK, most: int = 3) -> DataFrame:
