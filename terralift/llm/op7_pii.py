@@ -280,7 +280,10 @@ def ordered(spans: list[Span]) -> str:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = TRAIN_STEPS, text: str = "text") -> Tagger:
     """Train on windows of at most ``sample_docs`` documents that hold a digit or at-sign, in hash order."""
     known = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    known = known.select("text", F.xxhash64("text", F.lit(5)).alias("h")).orderBy("h").limit(sample_docs)
+    known = known.select("text", F.xxhash64("text", F.lit(5)).alias("h"))
+    # only hashes are sorted; the texts up to the last chosen hash are then read where they are
+    last = known.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    known = known.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]) if last is not None else known.limit(0)
 
     def cut(texts: list[str]) -> dict[str, object]:
         return {"parts": [[t[a:b] for a, b in stretches(t)[:3]] for t in texts]}
