@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from terralift.plans import panel_queries
+
+MODULES = (panel_queries,)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
+FLAGSHIP = "panel_orders"
