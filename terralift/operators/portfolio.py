@@ -1,0 +1,356 @@
+"""Across tests: covariance, pooling, decisions, monitoring, replanning, and the choice of a portfolio."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import math
+import time
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+from datetime import date
+from pathlib import Path
+from typing import Any
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from terralift.errors import ValidationError
+from terralift.functions.metrics import ratio
+from terralift.functions.stats import NORMAL
+from terralift.operators.inference import adjusted
+
+# ---- covariance of tests -------------------------------------------------------------------------------------
+
+
+def overlap_drivers(tests: DataFrame) -> DataFrame:
+    """``a, b, shared, market_share, overlap_days, calendar_share, alignment, proxy`` of each pair of tests.
+
+    Tests are ``test_id, treatment_markets, control_markets, start_date, end_date``. Alignment is the cosine of the
+    role vectors, +1/n for treated and -1/n for control markets. Pairs of tests are what is asked for; roadmaps are small.
+    """
+    t = tests.select("test_id", F.array_union("treatment_markets", "control_markets").alias("markets"), "treatment_markets", "control_markets", "start_date", "end_date")
+    a, b = (t.select(*[F.col(c).alias(f"{k}_{c}") for c in t.columns]) for k in "ab")
+    p = a.join(b, F.col("a_test_id") < F.col("b_test_id"))
+    n = lambda x, y: F.size(F.array_intersect(x, y)).cast("double")
+    shared = n("a_markets", "b_markets")
+    least = F.least(F.size("a_markets"), F.size("b_markets"))
+    days = F.greatest(F.lit(0), F.datediff(F.least("a_end_date", "b_end_date"), F.greatest("a_start_date", "b_start_date")) + 1)
+    shorter = F.least(*[F.datediff(f"{k}_end_date", f"{k}_start_date") + 1 for k in "ab"])
+    size = lambda c: F.size(c).cast("double")
+    part = lambda x, y, sign: sign * ratio(n(f"a_{x}", f"b_{y}"), size(f"a_{x}") * size(f"b_{y}"))
+    dot = sum((F.coalesce(part(x, y, 1.0 if x == y else -1.0), F.lit(0.0)) for x in ("treatment_markets", "control_markets") for y in ("treatment_markets", "control_markets")), F.lit(0.0))
+    norm = lambda k: F.sqrt(sum((F.coalesce(ratio(F.lit(1.0), size(f"{k}_{c}")), F.lit(0.0)) for c in ("treatment_markets", "control_markets")), F.lit(0.0)))
+    out = p.select(F.col("a_test_id").alias("a"), F.col("b_test_id").alias("b"), shared.cast("long").alias("shared"), F.coalesce(ratio(shared, least), F.lit(0.0)).alias("market_share"), days.cast("long").alias("overlap_days"), ratio(days.cast("double"), shorter).alias("calendar_share"), F.coalesce(ratio(dot, norm("a") * norm("b")), F.lit(0.0)).alias("alignment"))
+    return out.withColumn("proxy", F.col("alignment") * F.col("market_share") * (0.75 * F.col("calendar_share") + 0.25))
+
+
+def draw_covariance(draws: DataFrame) -> DataFrame:
+    """``a, b, covariance, correlation`` from joint draws ``draw, test_id, value``: one join on the draw."""
+    a, b = draws.select("draw", F.col("test_id").alias("a"), F.col("value").alias("x")), draws.select("draw", F.col("test_id").alias("b"), F.col("value").alias("y"))
+    return a.join(b, "draw").where("a < b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("covariance"), F.corr("x", "y").alias("correlation"))
+
+
+def nearest_correlation(c: np.ndarray) -> np.ndarray:
+    """Negative eigenvalues cut off, diagonal set back to one."""
+    values, vectors = np.linalg.eigh((c + c.T) / 2)
+    if values.min() >= -1e-12:
+        return c
+    m = (vectors * np.maximum(values, 1e-10)) @ vectors.T
+    d = np.sqrt(np.diag(m))
+    return m / np.outer(d, d)
+
+
+def resolved_variance(variance: float | None, se: float | None, interval: tuple[float, float] | None, confidence: float = 0.95) -> float | None:
+    if variance is not None:
+        return variance
+    if se is not None:
+        return se * se
+    if interval is not None and all(map(math.isfinite, interval)):
+        return ((interval[1] - interval[0]) / (2 * NORMAL.inv_cdf((1 + confidence) / 2))) ** 2
+    return None
+
+
+def clusters(pairs: DataFrame, ids: DataFrame, threshold: float, value: str = "proxy") -> DataFrame:
+    """``test_id, cluster``: tests tied by correlations of at least ``threshold``; the least id names the cluster.
+
+    Edges spread the least id until none changes; each round is a table of one row per test.
+    """
+    edges = pairs.where(F.abs(value) >= threshold).select("a", "b")
+    edges = edges.union(edges.select("b", "a"))
+    state = ids.select("test_id", F.col("test_id").alias("cluster"))
+    for _ in range(max(1, ids.count())):
+        low = edges.join(state, F.col("b") == F.col("test_id")).groupBy("a").agg(F.min("cluster").alias("low"))
+        following = state.join(low, F.col("test_id") == F.col("a"), "left").select("test_id", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"))
+        following = following.sparkSession.createDataFrame(following.collect(), following.schema)  # a row a test
+        if not following.exceptAll(state).limit(1).count():
+            break
+        state = following
+    return state
+
+
+# ---- pooling of evidence -------------------------------------------------------------------------------------
+
+
+def pooled(records: DataFrame, by: list[str], min_records: int = 2) -> DataFrame:
+    """DerSimonian-Laird pools of ``estimate, variance``: two aggregates by group.
+
+    Returns ``*by, n, tau2, mean, variance, low, high`` with a prediction interval of +-1.96.
+    """
+    r = records.where("estimate is not null and variance > 0").withColumn("w", 1 / F.col("variance"))
+    fixed = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"), (F.sum(F.col("w") * F.col("estimate")) / F.sum("w")).alias("mu"), F.sum(F.col("w") * F.col("estimate") ** 2).alias("swy2")).where(F.col("n") >= min_records)
+    q = F.col("swy2") - F.col("sw") * F.col("mu") ** 2
+    tau2 = F.greatest(F.lit(0.0), F.coalesce(ratio(q - (F.col("n") - 1), F.col("sw") - F.col("sw2") / F.col("sw")), F.lit(0.0)))
+    fixed = fixed.withColumn("tau2", tau2).select(*by, "n", "tau2")
+    random = r.join(fixed, by).withColumn("w", 1 / (F.col("variance") + F.col("tau2")))
+    out = random.groupBy(*by, "n", "tau2").agg((F.sum(F.col("w") * F.col("estimate")) / F.sum("w")).alias("mean"), (1 / F.sum("w")).alias("variance"))
+    half = 1.96 * F.sqrt(F.col("tau2") + F.col("variance"))
+    return out.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
+
+
+def shrunk(records: DataFrame, by: list[str], min_records: int = 2) -> DataFrame:
+    """Each record drawn to its pool: weight tau2 / (tau2 + variance); without heterogeneity it is the pool's mean."""
+    p = pooled(records, by, min_records).select(*by, "tau2", F.col("mean").alias("pool"))
+    w = F.coalesce(ratio(F.col("tau2"), F.col("tau2") + F.col("variance")), F.lit(0.0))
+    return records.join(p, by).withColumn("shrunk", w * F.col("estimate") + (1 - w) * F.col("pool"))
+
+
+def query_evidence(records: DataFrame, tags: list[str] | None = None, **equal: Any) -> DataFrame:
+    for k, v in equal.items():
+        if v is not None:
+            records = records.where(F.col(k) == v)
+    if tags:
+        records = records.where(F.size(F.array_except(F.array(*[F.lit(t) for t in tags]), F.col("tags"))) == 0)
+    return records
+
+
+# ---- decisions -----------------------------------------------------------------------------------------------
+
+
+def decided(metrics: DataFrame, multiplicity: str = "holm") -> DataFrame:
+    """Adds ``adjusted, decision`` to rows ``test_id, metric, role, framework, direction, margin, alpha, estimate, low, high, p_value``.
+
+    The margin is taken as minus its size for non-inferiority and plus its size for inferiority, in all frameworks.
+    """
+    confirm = F.col("role").isin("primary", "decision")
+    family = F.coalesce(F.col("family_id"), F.concat_ws(":", "role", "framework")) if "family_id" in metrics.columns else F.concat_ws(":", "role", "framework")
+    rows = metrics.withColumn("__family", F.when(confirm, family).otherwise(F.concat_ws(":", family, "metric"))).withColumn("__p", F.when(confirm, F.col("p_value")))
+    rows = adjusted(rows, "__p", ["test_id", "__family"], "metric", multiplicity).withColumn("adjusted", F.coalesce("adjusted", "p_value"))
+    sign = F.when(F.col("direction") == "decrease", -1.0).otherwise(1.0)
+    low = F.when(sign > 0, F.col("low")).otherwise(-F.col("high"))
+    high = F.when(sign > 0, F.col("high")).otherwise(-F.col("low"))
+    size = F.abs(F.coalesce("margin", F.lit(0.0)))
+    effect = sign * F.col("estimate")
+    p_ok = F.coalesce(F.col("adjusted") <= F.col("alpha"), F.lit(False))
+    claim = lambda effect_ok, evidence: F.when(effect_ok & evidence, "passed").when(~effect_ok & evidence, "failed").otherwise("inconclusive")
+    frame = F.col("framework")
+    decision = (
+        F.when(F.col("estimate").isNull(), "inconclusive")
+        .when(frame == "non_inferiority", F.when(low > -size, "passed").when(high < -size, "failed").otherwise("inconclusive"))
+        .when(frame == "equivalence", F.when((low > -size) & (high < size), "passed").when((low > size) | (high < -size), "failed").otherwise("inconclusive"))
+        .when(frame == "inferiority", F.when(high < size, "passed").when(low > size, "failed").otherwise("inconclusive"))
+        .when(frame == "two_sided", F.when(p_ok, "passed").otherwise("inconclusive"))
+        .otherwise(claim(effect > 0, p_ok))
+    )
+    return rows.withColumn("decision", decision).drop("__family", "__p")
+
+
+def test_states(decisions: DataFrame) -> DataFrame:
+    """``test_id, state``: no_go if a guardrail or primary fails, ship_scale if all primaries pass and no guardrail fails."""
+    is_ = lambda role, what: F.coalesce(F.bool_or((F.col("role") == role) & (F.col("decision") == what)), F.lit(False))
+    primary = F.col("role").isin("primary", "decision")
+    agg = decisions.groupBy("test_id").agg(
+        F.sum(primary.cast("int")).alias("primaries"), F.sum((primary & (F.col("decision") == "passed")).cast("int")).alias("passed"), F.sum((primary & (F.col("decision") == "failed")).cast("int")).alias("failed"),
+        is_("guardrail", "failed").alias("guardrail_failed"), is_("assumption", "failed").alias("assumption_failed"), F.max("adjusted").alias("max_p"), F.max("alpha").alias("max_alpha"),
+    )
+    state = F.when(F.col("primaries") == 0, "descriptive_only").when(F.col("assumption_failed"), "investigate_assumption_failure").when(F.col("guardrail_failed") | (F.col("failed") > 0), "no_go").when(F.col("passed") == F.col("primaries"), "ship_scale").otherwise("inconclusive")
+    return agg.select("test_id", state.alias("state"), "max_p", "max_alpha")
+
+
+# ---- monitoring ----------------------------------------------------------------------------------------------
+
+LIVE = ("planned", "locked", "active", "launched")
+
+
+def market_utilization(items: DataFrame) -> DataFrame:
+    """``market, treatment, control, tests`` over items ``test_id, status, treatment_markets, control_markets``."""
+    arms = F.explode(F.array(F.struct(F.lit("treatment").alias("role"), F.col("treatment_markets").alias("m")), F.struct(F.lit("control").alias("role"), F.col("control_markets").alias("m")))).alias("a")
+    rows = items.select("test_id", arms).select("test_id", "a.role", F.explode("a.m").alias("market"))
+    n = lambda role: F.sum((F.col("role") == role).cast("long"))
+    return rows.groupBy("market").agg(n("treatment").alias("treatment"), n("control").alias("control"), F.array_join(F.sort_array(F.collect_set("test_id")), ",").alias("tests"))
+
+
+def cooldown_debt(items: DataFrame, as_of: date, days: int) -> DataFrame:
+    """``market, until``: markets whose test ended less than ``days`` days ago."""
+    since = F.datediff(F.lit(as_of), F.col("end_date"))
+    ended = items.where(F.col("status").isin("completed", "cancelled") & (since >= 0) & (since < days))
+    return ended.select(F.explode(F.array_union("treatment_markets", "control_markets")).alias("market"), F.date_add("end_date", days).alias("until")).groupBy("market").agg(F.max("until").alias("until"))
+
+
+def power_coverage(items: DataFrame, target: float = 0.8) -> DataFrame:
+    live = items.where(F.col("status").isin(*LIVE))
+    known = F.col("calibrated_power").isNotNull()
+    return live.agg(F.count(F.lit(1)).alias("items"), F.sum(known.cast("long")).alias("with_power"), F.sum((known & (F.col("calibrated_power") >= target)).cast("long")).alias("reaching"))
+
+
+def status_counts(items: DataFrame) -> DataFrame:
+    return items.groupBy("status").agg(F.count(F.lit(1)).alias("items"))
+
+
+def monitor(items: DataFrame, as_of: date, cooldown_days: int = 28, target: float = 0.8, threshold: float = 0.5) -> dict[str, Any]:
+    """Summary of a roadmap, gathered from small aggregates."""
+    cover = power_coverage(items, target).first().asDict()
+    groups = clusters(overlap_drivers(items), items.select("test_id"), threshold)
+    tied = [sorted(r["t"]) for r in groups.groupBy("cluster").agg(F.collect_set("test_id").alias("t")).where(F.size("t") > 1).collect()]
+    debt = [r["market"] for r in cooldown_debt(items, as_of, cooldown_days).orderBy("market").collect()]
+    busy = [r["market"] for r in market_utilization(items.where(F.col("status").isin(*LIVE))).where("treatment > 1").orderBy("market").collect()]
+    out = {"status_counts": {r["status"]: r["items"] for r in status_counts(items).collect()}, "clusters": sorted(tied), "cooldown_debt": debt, "power_coverage": cover, "overused_markets": busy}
+    flags = [("correlated_tests", tied), ("cooldown_debt", debt), ("low_power_coverage", cover["items"] and (cover["reaching"] or 0) < cover["items"]), ("overused_markets", busy)]
+    return {**out, "risk_flags": [name for name, on in flags if on]}
+
+
+ACTIONS = {"overused_markets": (1, "resolve_market_overuse"), "correlated_tests": (2, "decouple_tests"), "cooldown_debt": (3, "wait_for_cooldown"), "low_power_coverage": (4, "refresh_power")}
+
+
+def recommend(summary: dict[str, Any]) -> list[dict[str, Any]]:
+    """Actions for the flags, in order of priority; keep_roadmap if there are none."""
+    found = sorted({ACTIONS[f] for f in summary["risk_flags"] if f in ACTIONS})
+    return [{"priority": p, "action": a} for p, a in found] or [{"priority": 9, "action": "keep_roadmap"}]
+
+
+def difference(before: dict[str, Any], after: dict[str, Any]) -> dict[str, Any]:
+    """New and gone flags and markets, and changes of counts."""
+    out: dict[str, Any] = {}
+    for k in ("risk_flags", "cooldown_debt", "overused_markets"):
+        out[k] = {"added": sorted({*after[k]} - {*before[k]}), "removed": sorted({*before[k]} - {*after[k]})}
+    names = sorted({*before["status_counts"], *after["status_counts"]})
+    out["status_counts"] = {n: after["status_counts"].get(n, 0) - before["status_counts"].get(n, 0) for n in names}
+    return out
+
+
+# ---- choice of candidates ------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Candidate:
+    """One way to run one test."""
+
+    candidate_id: str
+    test_name: str
+    start: date
+    end: date
+    treatment: frozenset[str]
+    control: frozenset[str]
+    score: float
+    components: dict[str, float] = field(default_factory=dict)
+
+
+def objective(c: Candidate, overuse: float = 0.0, bonus: float = 0.0) -> int:
+    """Whole thousandths, halves to even."""
+    return round(1000 * (c.score + bonus - overuse * len(c.control)))
+
+
+def feasible(chosen: list[Candidate], most_controls: int | None = None) -> bool:
+    """Treatments exclusive, no market treated and control at once, and controls within their cap on every date."""
+    for i, a in enumerate(chosen):
+        for b in chosen[i + 1 :]:
+            if a.start <= b.end and b.start <= a.end and (a.treatment & (b.treatment | b.control) or b.treatment & a.control):
+                return False
+    if most_controls is not None:
+        events: dict[str, list[tuple[int, int]]] = {}
+        for c in chosen:
+            for m in c.control:
+                events.setdefault(m, []).extend([(c.start.toordinal(), 1), (c.end.toordinal() + 1, -1)])
+        for e in events.values():
+            now = 0
+            for _, step in sorted(e):
+                now += step
+                if now > most_controls:
+                    return False
+    return True
+
+
+def solve(candidates: list[Candidate], overuse: float = 0.0, most_controls: int | None = None, least: int = 0, blocked: frozenset[str] = frozenset(), penalties: dict[tuple[str, str], float] | None = None, bonuses: dict[str, float] | None = None, seconds: float = 30.0) -> dict[str, Any]:
+    """Best set with at most one candidate a test, by branch and bound; exact unless time runs out.
+
+    The bound is the sum of the best scores of tests still open, so penalties, which only lower scores, keep it valid.
+    """
+    by: dict[str, list[tuple[int, Candidate]]] = {}
+    for c in candidates:
+        if not c.treatment & blocked:
+            by.setdefault(c.test_name, []).append((objective(c, overuse, (bonuses or {}).get(c.candidate_id, 0.0)), c))
+    tests = sorted(by)
+    for t in tests:
+        by[t].sort(key=lambda x: (-x[0], x[1].candidate_id))
+    rest = [0] * (len(tests) + 1)
+    for i in range(len(tests) - 1, -1, -1):
+        rest[i] = rest[i + 1] + max(0, by[tests[i]][0][0])
+    best: list[Any] = [-math.inf, []]
+    deadline, complete = time.monotonic() + seconds, True
+
+    def go(i: int, chosen: list[Candidate], value: float) -> None:
+        nonlocal complete
+        if time.monotonic() > deadline:
+            complete = False
+            return
+        if len(chosen) + len(tests) - i < least or value + rest[i] <= best[0]:
+            return
+        if i == len(tests):
+            best[0], best[1] = value, list(chosen)
+            return
+        for v, c in by[tests[i]]:
+            tried = [*chosen, c]
+            if feasible(tried, most_controls):
+                cost = sum(round(1000 * (penalties or {}).get(tuple(sorted((c.candidate_id, o.candidate_id))), 0.0)) for o in chosen)
+                go(i + 1, tried, value + v - cost)
+        go(i + 1, chosen, value)
+
+    go(0, [], 0)
+    if not best[1] and least:
+        raise ValidationError(f"no feasible set of {least} tests.", "Loosen the limits or add candidates.")
+    names = {c.test_name for c in best[1]}
+    return {"selected": best[1], "objective": best[0] / 1000, "optimal": complete, "unselected": sorted({c.test_name for c in candidates} - names), "alternatives": alternatives(candidates, best[1])}
+
+
+def alternatives(candidates: list[Candidate], selected: list[Candidate], most: int = 5) -> dict[str, list[str]]:
+    taken = {c.candidate_id for c in selected}
+    out: dict[str, list[Candidate]] = {}
+    for c in sorted(candidates, key=lambda x: (-x.score, x.candidate_id)):
+        if c.candidate_id not in taken and len(out.setdefault(c.test_name, [])) < most:
+            out[c.test_name].append(c)
+    return {t: [c.candidate_id for c in cs] for t, cs in out.items()}
+
+
+def top_candidates(candidates: DataFrame, most: int = 5) -> DataFrame:
+    """The ``most`` best of each test."""
+    n = F.row_number().over(Window.partitionBy("test_name").orderBy(F.desc("score"), "candidate_id"))
+    return candidates.withColumn("rank", n).where(F.col("rank") <= most)
+
+
+def conflict_pairs(candidates: DataFrame) -> DataFrame:
+    """``a, b`` of candidates of different tests that can't both run."""
+    side = lambda k: candidates.select(*[F.col(c).alias(f"{k}_{c}") for c in ("candidate_id", "test_name", "start_date", "end_date", "treatment_markets", "control_markets")])
+    pair = side("a").join(side("b"), (F.col("a_candidate_id") < F.col("b_candidate_id")) & (F.col("a_test_name") != F.col("b_test_name")) & (F.col("a_start_date") <= F.col("b_end_date")) & (F.col("b_start_date") <= F.col("a_end_date")))
+    clash = F.arrays_overlap("a_treatment_markets", "b_treatment_markets") | F.arrays_overlap("a_treatment_markets", "b_control_markets") | F.arrays_overlap("a_control_markets", "b_treatment_markets")
+    return pair.where(clash).select(F.col("a_candidate_id").alias("a"), F.col("b_candidate_id").alias("b"))
+
+
+def learning_values(candidates: DataFrame, evidence: DataFrame, floor: float = 0.01) -> DataFrame:
+    """``candidate_id, value``: small detectable effects where little is known teach most; the best is worth 100."""
+    known = evidence.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
+    rows = candidates.select("candidate_id", F.explode("metric_mde").alias("metric", "mde")).join(F.broadcast(known), "metric", "left")
+    raw = rows.groupBy("candidate_id").agg((F.log1p(F.avg(1 / F.greatest(F.col("mde"), F.lit(floor)))) * (1 + 1 / (1 + F.avg(F.coalesce("n", F.lit(0)))))).alias("raw"))
+    return raw.withColumn("value", 100 * ratio(F.col("raw"), F.max("raw").over(Window.partitionBy()))).select("candidate_id", "value")
+
+
+def candidate_score(priority: Column, mde: Column, n_controls: Column, penalty: float = 1.0, overuse: float = 0.0) -> Column:
+    return 100.0 * priority - 100.0 * penalty * mde - overuse * n_controls
+
+
+def write_manifest(path: str, kind: str, artifacts: Iterable[str], inputs: Iterable[str] = ()) -> dict[str, Any]:
+    """A side file with sizes and SHA-256 of artifacts and inputs."""
+    entry = lambda p: {"path": p, "bytes": Path(p).stat().st_size, "sha256": hashlib.sha256(Path(p).read_bytes()).hexdigest()}
+    out = {"kind": kind, "artifacts": [entry(p) for p in artifacts], "inputs": [entry(p) for p in inputs]}
+    Path(path).write_text(json.dumps(out, indent=2, sort_keys=True))
+    return out
