@@ -26,6 +26,8 @@ BLOCK = 32
 SHARD = 4096
 BUCKET_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space behind it, read without going back.
+STEP = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 #: Multipliers of the pseudorandom permutation, by the number of bits of the range: primes, so coprime to most ranges.
 PRIMES = ((31, (2147483629, 2147483587)), (38, (16777213, 16777199)), (45, (131071, 131063, 131059)))
 
@@ -154,22 +156,31 @@ def mix_shards(docs: DataFrame, block: int = BLOCK, most: int = 3, shard: int =
 def mix_documents(docs: DataFrame, block: int = BLOCK, most: int = 3) -> DataFrame:
     """The documents of the mix, in the columns of ``docs``: each text is what the mix takes of it, repeats included.
 
-    A piece keeps the white space behind its words. A document of which nothing is taken is left out; ``n_chars``,
+    A piece keeps the white space behind its words, or gets a blank if it has none and another follows. A document of which nothing is taken is left out; ``n_chars``,
     where there is such a column, is the new length.
     """
     _, _, pieces = _uses(docs, True, block, most)
     key = ["doc_id", "source", "tie"]
     plan = pieces.where("uses > 0").groupBy(*key, "at").agg(F.sort_array(F.collect_list(F.struct("begin", "words", "uses"))).alias("parts"))
     # repeated rows have one key and a plan each
-    plan = plan.groupBy(*key).agg(F.collect_list("parts").alias("plans"))
+    plan = plan.groupBy(*key).agg(F.collect_list(F.struct("at", "parts")).alias("p")).select(*key, F.col("p.at").alias("ats"), F.col("p.parts").alias("plans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__source", F.col("source").cast("string")).withColumn("__tie", F.xxhash64(text))
     d = d.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__source", "__tie").orderBy(F.lit(0))))
     joined = d.join(plan, d["__id"].eqNullSafe(plan["doc_id"]) & d["__source"].eqNullSafe(plan["source"]) & (d["__tie"] == plan["tie"])).where(F.col("__nth") <= F.size("plans"))
-    words = F.regexp_extract_all(text_of(d), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    joined = joined.withColumn("__words", words).withColumn("__parts", F.element_at("plans", F.col("__nth")))
-    made = F.array_join(F.flatten(F.transform("__parts", lambda p: F.flatten(F.array_repeat(F.slice(F.col("__words"), (p["begin"] + 1).cast("int"), p["words"].cast("int")), p["uses"].cast("int"))))), "")
-    joined = joined.withColumn("__text", made)
+    # the text in the pieces that blocks cut it into: one of the first block's rest, then whole blocks
+    body = F.regexp_replace(text_of(d), r"^[\x20\x09-\x0D]+", "")
+    joined = joined.withColumn("__body", body).withColumn("__parts", F.element_at("plans", F.col("__nth")))
+    joined = joined.withColumn("__at", F.element_at("ats", F.col("__nth")))
+    first = F.lit(block) - F.col("__at") % block
+    head = F.call_function("regexp_extract", F.col("__body"), F.concat(F.lit("^("), F.lit(f"(?:{STEP})"), F.lit("{1,"), first.cast("string"), F.lit("}+)")), F.lit(1))
+    joined = joined.withColumn("__head", head)
+    rest = F.substring("__body", F.length("__head") + 1, F.length("__body"))
+    joined = joined.withColumn("__pieces", F.concat(F.array("__head"), F.regexp_extract_all(rest, F.lit(f"(?:{STEP}){{1,{block}}}+"), F.lit(0))))
+    piece = lambda p: F.element_at(F.col("__pieces"), (F.when(p["begin"] == 0, 0).otherwise(F.floor((p["begin"] - first) / block) + 1) + 1).cast("int"))
+    apart = lambda x: F.when(x.rlike(r"[\x20\x09-\x0D]\z"), x).otherwise(F.concat(x, F.lit(" ")))
+    made = F.array_join(F.transform("__parts", lambda p: F.repeat(apart(piece(p)), p["uses"].cast("int"))), "")
+    joined = joined.withColumn("__text", F.when(F.col("__body").rlike(r"[\x20\x09-\x0D]\z"), made).otherwise(F.rtrim(made)))
     out = [F.col("__text").alias(c) if c == "text" else F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else d[c] for c in docs.columns]
     return joined.select(*out)
 
