@@ -57,33 +57,38 @@ def map_text(
     a list or array for each name of ``fields``. Rows never leave their partition.
     """
     keep = [] if keep is None else keep
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], *fields])
+    # a kept text travels once
+    at = keep.index(text) if text in keep and dict(df.dtypes)[text] == "string" else len(keep)
+    columns = [F.col(f"`{c}`") for c in keep]
+    source = df.select(*columns, *([F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")] if at == len(keep) else []))
+    schema = T.StructType([*source.schema.fields[: len(keep)], *fields])
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_slices(batch, max_bytes):
+            for part, texts in text_slices(batch, max_bytes, at):
                 made = function(texts)
-                arrays = [*part.columns[:-1], *[pa.array(made[n], from_pandas=False) for n in names]]
-                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names[:-1], *names])
+                arrays = [*part.columns[: len(keep)], *[pa.array(made[n], from_pandas=False) for n in names]]
+                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names[: len(keep)], *names])
 
     return source.mapInArrow(run, schema)
 
 
-def text_slices(batch: pa.RecordBatch, max_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut a batch whose last column is text into runs of rows of about ``max_bytes`` of text, one row at least."""
-    column = batch.column(batch.num_columns - 1)
+def text_slices(batch: pa.RecordBatch, max_bytes: int, at: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Cut a batch whose column ``at`` (or last) is text into runs of rows of about ``max_bytes`` of text, one row at
+    least; null texts come as empty ones."""
+    at = batch.num_columns - 1 if at is None else at
+    column = batch.column(at)
     if not len(column):
         return
-    ends = np.cumsum(np.array(pc.binary_length(column)).astype(np.int64))
-    at = 0
-    while at < len(ends):
-        done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + max_bytes, "right")))
-        part = batch.slice(at, to - at)
-        yield part, part.column(part.num_columns - 1).to_pylist()
-        at = to
+    ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))
+    row = 0
+    while row < len(ends):
+        done = ends[row - 1] if row else 0
+        to = max(row + 1, int(np.searchsorted(ends, done + max_bytes, "right")))
+        part = batch.slice(row, to - row)
+        yield part, [t or "" for t in part.column(at).to_pylist()]
+        row = to
 
 
 def joined_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

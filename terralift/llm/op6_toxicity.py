@@ -37,7 +37,7 @@ PRIOR = 1.0
 LEAST_G = 15.0
 LEAST_ODDS = 20.0
 LEAST_DOCS = 4
-CACHE = 400_000
+CACHE = 200_000
 
 
 def units(word: str) -> list[str]:
@@ -250,7 +250,7 @@ def _logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray, share: float) -> tupl
     return float(max(w[0], 1e-3)), float(min(w[1], 0.0)), float(w[2])
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], cut: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], cut: float = 0.5, text: str = "text") -> DataFrame:
     """The columns ``keep`` with ``score``, ``predicted`` and ``n_segments`` (significant passages)."""
     fields = [T.StructField("score", T.DoubleType()), T.StructField("n_segments", T.LongType())]
     scanner: list[Scanner] = []
@@ -269,12 +269,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], cut:
             number.append(len(over))
         return {"score": scan.probability(np.array(excess), np.array(sizes)), "n_segments": number}
 
-    return map_text(docs, run, fields, keep=keep).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return map_text(docs, run, fields, text=text, keep=keep).withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, cut: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``cut``; rows with null text pass."""
     # the score travels under a name of its own, as documents may have a column "score"
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns])
-    scored = score_toxicity(renamed.withColumn("text", F.col("__doc_text")), model, keep=renamed.columns, cut=cut)
+    scored = score_toxicity(renamed, model, keep=renamed.columns, cut=cut, text="__doc_text")
     return scored.where("predicted = 0").select(*[F.col(f"__doc_{c}").alias(c) for c in docs.columns])
