@@ -56,7 +56,9 @@ def generate_panel(spark: SparkSession, n_markets: int = 100, start: str = "2027
     day = np.arange(periods)
     season = 1 + 0.12 * np.sin(2 * np.pi * day / 7) + 0.08 * np.sin(2 * np.pi * day / 365.25) + 0.0002 * day
     common = ar1(np.random.default_rng([seed, 1]), periods, 0.6, 0.02)
-    markets = spark.createDataFrame(market_table(n_markets, seed, country, us, grain if us else "geo").reset_index(names="number"))
+    table = market_table(n_markets, seed, country, us, grain if us else "geo")
+    rows = [(i, r.geo_id, r.country, r.region, r.state, int(r.population), float(r.market_size)) for i, r in enumerate(table.itertuples())]
+    markets = spark.createDataFrame(rows, "number long, geo_id string, country string, region string, state string, population long, market_size double")
 
     def grow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
