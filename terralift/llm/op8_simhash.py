@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralift.llm.common import map_text, materialize
+from terralift.llm.common import map_text, materialize, mix64
 from terralift.llm.components import connected_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -55,9 +55,47 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def with_fingerprints(docs: DataFrame, keep: list[str], shingle: int = 4) -> DataFrame:
-    """The columns ``keep`` and ``fp long``."""
-    return map_text(docs, lambda texts: {"fp": np.array([fingerprint(t, shingle) for t in texts], np.int64)}, [T.StructField("fp", T.LongType())], keep=keep)
+def with_fingerprints(docs: DataFrame, keep: list[str], shingle: int = 4, wide: bool = False) -> DataFrame:
+    """The columns ``keep`` and ``fp long``; with ``wide`` also ``w0 .. w3 long``, of five-word shingles."""
+    words = [f"w{k}" for k in range(WIDE)] if wide else []
+
+    def run(texts: list[str]) -> dict[str, object]:
+        made = np.array([wide_fingerprint(t) for t in texts]).reshape(-1, WIDE) if wide else None
+        return {"fp": np.array([fingerprint(t, shingle) for t in texts], np.int64), **{w: made[:, k] for k, w in enumerate(words)}}
+
+    return map_text(docs, run, [T.StructField(c, T.LongType()) for c in ("fp", *words)], keep=keep)
+
+
+WIDE = 4
+
+
+def wide_fingerprint(text: str, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """256 majority bits over the different shingles of a text: the share of differing bits of two texts is the angle
+    between their shingle sets over pi, up to chance."""
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not words:
+        return np.zeros(WIDE, np.int64)
+    line = b" ".join(words)
+    first = [0, *np.cumsum([len(w) + 1 for w in words]).tolist()]
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - shingle + 1)
+    last = first[min(shingle, len(words)) :]
+    values = np.unique(np.array([digest(line[a : b - 1], seed) for a, b in zip(first[:n], last, strict=False)], np.uint64))
+    out = np.empty(WIDE, np.int64)
+    for k in range(WIDE):
+        ones = np.zeros(64, np.int64)
+        mixed = mix64(values + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+        for at in range(0, len(mixed), 16384):
+            ones += np.unpackbits(mixed[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[k] = np.packbits(ones * 2 > len(values), bitorder="little").view(np.int64)[0]
+    return out
+
+
+def differing_bits(similarity: float) -> int:
+    """Bits of a wide fingerprint that sets of this Jaccard similarity differ in, on average and half a deviation more:
+    two of three pairs at just this similarity are within it."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * WIDE * share + 0.5 * math.sqrt(64 * WIDE * share * (1 - share)))
 
 
 def gray_rank(x: Column) -> Column:
@@ -222,25 +260,99 @@ def hamming_links(nodes: DataFrame, max_bits: int = 4, tile: int = 4096) -> Data
     return dealt.mapInArrow(lambda b: _class_links(b, max_bits), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", keep: list[str] | None = None, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+def sampled_masks(nodes: int, group: int = 4, recall: float = 0.98, similarity: float = 0.8, seed: int = 19) -> list[list[int]]:
+    """Bit samples (a mask for each word) of tables that a pair of the given similarity shares one of, with the given
+    chance; samples are as long as it takes for about ``group`` random nodes to share a class."""
+    bits = max(8, math.ceil(math.log2(max(nodes, 2) / group)))
+    same = (1 - differing_bits(similarity) / (64 * WIDE)) ** bits
+    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+    draw = np.random.default_rng(seed)
+    out = []
+    for _ in range(tables):
+        chosen = draw.choice(64 * WIDE, bits, replace=False).tolist()
+        out.append([sum(1 << (c % 64) for c in chosen if c // 64 == k) for k in range(WIDE)])
+    return out
+
+
+def _near_in_tables(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Links between rows (part, key, i, j, node, words...) of one class; classes come whole and in order."""
+    held: np.ndarray | None = None
+
+    def links(rows: np.ndarray) -> pa.RecordBatch | None:
+        key, node, codes = rows[:4], rows[4], rows[5:].view(np.uint64)
+        kinds, place = np.unique(node, return_inverse=True)
+        forest, step = _Forest(len(kinds)), 0
+        alive = np.arange(rows.shape[1])
+        while len(alive):
+            step += 1
+            alive = alive[alive + step < rows.shape[1]]
+            alive = alive[(key[:, alive] == key[:, alive + step]).all(0)]
+            apart = alive[forest.root[place[alive]] != forest.root[place[alive + step]]]
+            for at in range(0, len(apart), 1 << 16):
+                a = apart[at : at + (1 << 16)]
+                far = np.bitwise_count(codes[:, a] ^ codes[:, a + step]).sum(0, dtype=np.int64)
+                hit = a[far <= max_bits]
+                forest.join(place[hit], place[hit + step])
+        moved = np.flatnonzero(forest.root != np.arange(len(kinds)))
+        return pa.RecordBatch.from_arrays([pa.array(kinds[moved]), pa.array(kinds[forest.root[moved]])], ["a", "b"]) if len(moved) else None
+
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        rows = rows if held is None else np.concatenate([held, rows], axis=1)
+        if not rows.shape[1]:
+            continue
+        last = np.flatnonzero((rows[:4] != rows[:4, -1:]).any(0))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        held = rows[:, cut:]
+        if cut and (made := links(rows[:, :cut])) is not None:
+            yield made
+    if held is not None and held.shape[1] and (made := links(held)) is not None:
+        yield made
+
+
+def similar_links(nodes: DataFrame, similarity: float = 0.8, tile: int = 2048) -> DataFrame:
+    """``a, b``: links between nodes (``node long, w0 .. w3 long``) whose wide fingerprints differ in no more bits than
+    sets of this similarity do. Pairs meet in tables of sampled bits; a class beyond ``tile`` rows is cut into tiles."""
+    tables = sampled_masks(nodes.count(), similarity=similarity)
+    words = [f"w{k}" for k in range(WIDE)]
+    keys = F.array(*[F.xxhash64(*[F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, t, strict=True)]) for t in tables])
+    keyed = nodes.select("node", *words, F.posexplode(keys).alias("part", "key"))
+    large = keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
+    tiled = keyed.join(large, ["part", "key"], "left").withColumn("g", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
+    tiled = tiled.withColumn("t", F.pmod(F.xxhash64("node", F.lit(3)), F.col("g")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = tiled.select("part", "key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "node", *words)
+    dealt = dealt.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j")
+    return dealt.mapInArrow(lambda b: _near_in_tables(b, differing_bits(similarity)), "a long, b long")
+
+
+def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", keep: list[str] | None = None, shingle: int = 4, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
     """``doc_id, *keep, fp, root, component_id``: the smallest id reachable over links of at most ``max_bits`` bits.
 
+    With ``similarity``, texts whose five-word shingles are as similar as that, as wide fingerprints estimate it, are
+    linked as well; 64 bits can't tell these from others, and tables of sampled bits find them with a chance of 0.98.
+
     ``root`` is the smallest fingerprint of the component, as a signed integer.
     """
-    marked = materialize(with_fingerprints(docs, [doc_id, *(keep or [])], shingle))
+    marked = materialize(with_fingerprints(docs, [doc_id, *(keep or [])], shingle, similarity is not None))
     nodes = materialize(marked.groupBy("fp").agg(F.min(doc_id).alias("least")))
-    found = connected_components(hamming_links(nodes.select("fp"), max_bits))
+    links = hamming_links(nodes.select("fp"), max_bits)
+    if similarity is not None:
+        words = [f"w{k}" for k in range(WIDE)]
+        same = materialize(marked.groupBy(*words).agg(F.min("fp").alias("node")))
+        equal = marked.select(F.col("fp").alias("a"), *words).distinct().join(same, words).select("a", F.col("node").alias("b")).where("a <> b")
+        links = links.union(equal).union(similar_links(same, similarity))
+    found = connected_components(links)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = materialize(rooted.join(named, "root").select("fp", "root", "component_id"))
     return marked.join(member, "fp")
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4, similarity: float | None = 0.8) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the one of least id (rows without id last; ties
     by a hash of the text), and one only of repeated rows."""
     tied = docs.withColumn("__tie", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    groups = simhash_groups(tied, keep=["__tie"], shingle=shingle, max_bits=max_bits)
+    groups = simhash_groups(tied, keep=["__tie"], shingle=shingle, max_bits=max_bits, similarity=similarity)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tie")).alias("one"))
     stay = first.select(F.col("one.doc_id").alias("__id"), F.col("one.__tie").alias("__t"), F.col("one.none").alias("__none"))
     rows = tied.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))

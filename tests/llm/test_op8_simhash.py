@@ -111,3 +111,43 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(7, 7), (500, 501), (501, 500)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(101)}, 500: 500, 501: 500}
+
+
+def edited(words: list[str], share: float, draw: random.Random) -> str:
+    return " ".join(draw.choice(["new", "other", "word"]) + str(draw.random()) if draw.random() < share else w for w in words)
+
+
+def shingles(text: str) -> set:
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_similar_texts(spark):
+    draw = random.Random(12)
+    rows = []
+    for i in range(150):
+        words = [f"{draw.choice('abcdefg')}{draw.randint(0, 400)}" for _ in range(draw.randint(60, 300))]
+        rows += [" ".join(words), edited(words, 0.004, draw), edited(words, 0.2, draw)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in op8_simhash.simhash_groups(docs, similarity=0.8).collect()}
+    sure = lost = wrong = 0
+    for i in range(150):
+        base, near, far = (shingles(rows[3 * i + k]) for k in range(3))
+        j = len(base & near) / len(base | near)
+        if j >= 0.9:
+            sure += 1
+            lost += got[3 * i] != got[3 * i + 1]
+        assert len(base & far) / len(base | far) < 0.6
+        wrong += got[3 * i + 2] != 3 * i + 2
+    assert sure > 50 and lost <= 0.05 * sure and wrong == 0
+
+
+def test_one_of_each(spark):
+    docs = documents(spark, texts(4, 30) * 2)
+    kept = op8_simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    groups = op8_simhash.simhash_groups(docs, keep=["text"], similarity=0.8).collect()
+    assert len(rows) == len({r["root"] for r in groups})
+    assert {r["doc_id"] for r in rows} == {r["component_id"] for r in groups}
+    assert op8_simhash.one_of_each_group(documents(spark, [])).count() == 0
