@@ -30,11 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it again.
 
-    Survives lost executors, unlike a local checkpoint, and a reader takes only the columns it needs.
+    Survives lost executors, unlike a local checkpoint, and a reader takes only the columns it needs. The table goes
+    when the application ends.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
