@@ -420,3 +420,28 @@ def max_t_stepdown(observed: DataFrame, draws: DataFrame, add_one: bool = True)
 
 def share(flag: Column) -> Column:
     return F.avg(flag.cast("double"))
+
+
+def block_conformal_by(series: DataFrame, key: str, length: int) -> DataFrame:
+    """``key, p_value`` of the last ``length`` of ``key, i, n, e`` (places from 0, count, residual), by circular blocks.
+
+    Each residual goes to the ``length`` blocks that hold it, so blocks are one aggregate, not a self-join.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("back")
+    rows = series.select(key, "i", "n", "e", at).withColumn("start", F.pmod(F.col("i") - F.col("back"), F.col("n")))
+    blocks = rows.groupBy(key, "start", "n").agg(F.abs(F.avg("e")).alias("score"))
+    seen = F.max(F.when(F.col("start") == F.col("n") - length, F.col("score"))).over(Window.partitionBy(key))
+    return blocks.withColumn("seen", seen).groupBy(key).agg(share(F.col("score") >= F.col("seen") - 1e-12).alias("p_value"))
+
+
+def jackknife_by(units: DataFrame, unit: str, treated: str, value: str) -> DataFrame:
+    """``standard_error, n`` of a difference in means when each unit is left out: arm totals less a unit's own part."""
+    z, v = F.col(treated), F.col(value)
+    arm = Window.partitionBy(treated)
+    mean = lambda k: F.avg(F.when(z == k, v)).alias(f"m{k}")
+    means = units.agg(mean(1), mean(0))  # one row
+    left = (F.sum(v).over(arm) - v) / F.nullif(F.count(F.lit(1)).over(arm) - 1, F.lit(0))
+    rows = units.select(unit, treated, left.alias("left")).crossJoin(F.broadcast(means))
+    d = F.when(F.col(treated) == 1, F.col("left") - F.col("m0")).otherwise(F.col("m1") - F.col("left"))
+    n = F.count(F.lit(1))
+    return rows.select(d.alias("d")).agg(F.sqrt((n - 1) * F.var_pop("d")).alias("standard_error"), n.alias("n"))
