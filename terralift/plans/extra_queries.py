@@ -39,7 +39,7 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 def stream_daily_arms(spark: SparkSession, d: str) -> DataFrame:
     """Daily means of two arms, as a stream over the events run to its end."""
     path = f"{d}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parquet*")  # a glob, as the table can be one file
     rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).cast("string").alias("geo"), "value")
     name = f"arms_{uuid.uuid4().hex}"
     q = daily_arms(rows, "ts", "geo", "value", [str(i) for i in range(5)]).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
