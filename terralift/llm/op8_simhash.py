@@ -274,35 +274,45 @@ def sampled_masks(nodes: int, group: int = 4, recall: float = 0.98, similarity:
     return out
 
 
+WORDS = [f"w{k}" for k in range(WIDE)]
+LINK = ", ".join(f"{side}{k} long" for side in "ab" for k in range(WIDE))
+
+
 def _near_in_tables(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Links between rows (part, key, i, j, node, words...) of one class; classes come whole and in order."""
+    """Links (words of both codes) between rows (key, words...) of one key; rows of a key come together."""
     held: np.ndarray | None = None
 
     def links(rows: np.ndarray) -> pa.RecordBatch | None:
-        key, node, codes = rows[:4], rows[4], rows[5:].view(np.uint64)
-        kinds, place = np.unique(node, return_inverse=True)
-        forest, step = _Forest(len(kinds)), 0
-        alive = np.arange(rows.shape[1])
+        key, codes = rows[0], rows[1:].view(np.uint64)
+        name = codes[0]
+        for w in codes[1:]:
+            name = mix64(name) ^ w
+        _, first, place = np.unique(name, return_index=True, return_inverse=True)
+        forest, step = _Forest(len(first)), 0
+        alive = np.arange(len(key))
         while len(alive):
             step += 1
-            alive = alive[alive + step < rows.shape[1]]
-            alive = alive[(key[:, alive] == key[:, alive + step]).all(0)]
+            alive = alive[alive + step < len(key)]
+            alive = alive[key[alive] == key[alive + step]]
             apart = alive[forest.root[place[alive]] != forest.root[place[alive + step]]]
             for at in range(0, len(apart), 1 << 16):
                 a = apart[at : at + (1 << 16)]
                 far = np.bitwise_count(codes[:, a] ^ codes[:, a + step]).sum(0, dtype=np.int64)
                 hit = a[far <= max_bits]
                 forest.join(place[hit], place[hit + step])
-        moved = np.flatnonzero(forest.root != np.arange(len(kinds)))
-        return pa.RecordBatch.from_arrays([pa.array(kinds[moved]), pa.array(kinds[forest.root[moved]])], ["a", "b"]) if len(moved) else None
+        moved = np.flatnonzero(forest.root != np.arange(len(first)))
+        if not len(moved):
+            return None
+        ends = [rows[1:, first[at]] for at in (moved, forest.root[moved])]
+        return pa.RecordBatch.from_arrays([pa.array(w) for e in ends for w in e], [c.split()[0] for c in LINK.split(", ")])
 
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
         rows = rows if held is None else np.concatenate([held, rows], axis=1)
         if not rows.shape[1]:
             continue
-        last = np.flatnonzero((rows[:4] != rows[:4, -1:]).any(0))
-        cut = int(last[-1]) + 1 if len(last) else 0
+        before = np.flatnonzero(rows[0] != rows[0, -1])
+        cut = int(before[-1]) + 1 if len(before) else 0
         held = rows[:, cut:]
         if cut and (made := links(rows[:, :cut])) is not None:
             yield made
@@ -310,19 +320,23 @@ def _near_in_tables(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterato
         yield made
 
 
-def similar_links(nodes: DataFrame, similarity: float = 0.8, tile: int = 2048) -> DataFrame:
-    """``a, b``: links between nodes (``node long, w0 .. w3 long``) whose wide fingerprints differ in no more bits than
-    sets of this similarity do. Pairs meet in tables of sampled bits; a class beyond ``tile`` rows is cut into tiles."""
+def similar_links(nodes: DataFrame, similarity: float = 0.8, tile: int = 4096, most_known: int = 10_000) -> DataFrame:
+    """``a0 .. a3, b0 .. b3``: links between wide fingerprints (``w0 .. w3 long``, all different) that differ in no more
+    bits than sets of this similarity do. Pairs meet in tables of sampled bits.
+
+    The rows of all tables are shuffled once. Classes beyond ``tile`` rows are found by a count of keys alone and cut
+    into tiles that meet in pairs; their keys are broadcast if there are at most ``most_known``, else joined by merging.
+    """
     tables = sampled_masks(nodes.count(), similarity=similarity)
-    words = [f"w{k}" for k in range(WIDE)]
-    keys = F.array(*[F.xxhash64(*[F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, t, strict=True)]) for t in tables])
-    keyed = nodes.select("node", *words, F.posexplode(keys).alias("part", "key"))
-    large = keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    tiled = keyed.join(large, ["part", "key"], "left").withColumn("g", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
-    tiled = tiled.withColumn("t", F.pmod(F.xxhash64("node", F.lit(3)), F.col("g")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = tiled.select("part", "key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "node", *words)
-    dealt = dealt.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j")
-    return dealt.mapInArrow(lambda b: _near_in_tables(b, differing_bits(similarity)), "a long, b long")
+    keys = [F.xxhash64(F.lit(n), *[F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(WORDS, t, strict=True)]) for n, t in enumerate(tables)]
+    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), *WORDS)
+    large = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile))
+    known = large.count()
+    if known:
+        tiled = keyed.join(F.broadcast(large) if known <= most_known else large.hint("merge"), "key", "left").withColumn("g", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
+        tiled = tiled.withColumn("t", F.pmod(F.xxhash64(*WORDS), F.col("g")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        keyed = tiled.select(F.when(F.col("g") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("t", "u"), F.greatest("t", "u"))).alias("key"), *WORDS)
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _near_in_tables(b, differing_bits(similarity)), LINK)
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", keep: list[str] | None = None, shingle: int = 4, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
@@ -337,10 +351,13 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", keep: list[str] | No
     nodes = materialize(marked.groupBy("fp").agg(F.min(doc_id).alias("least")))
     links = hamming_links(nodes.select("fp"), max_bits)
     if similarity is not None:
-        words = [f"w{k}" for k in range(WIDE)]
-        same = materialize(marked.groupBy(*words).agg(F.min("fp").alias("node")))
-        equal = marked.select(F.col("fp").alias("a"), *words).distinct().join(same, words).select("a", F.col("node").alias("b")).where("a <> b")
-        links = links.union(equal).union(similar_links(same, similarity))
+        same = materialize(marked.groupBy(*WORDS).agg(F.min("fp").alias("node")))
+        equal = marked.select(F.col("fp").alias("a"), *WORDS).distinct().join(same, WORDS).select("a", F.col("node").alias("b")).where("a <> b")
+        near = materialize(similar_links(same.select(*WORDS), similarity))
+        for side in "ab":
+            named = same.select(*[F.col(w).alias(f"{side}{k}") for k, w in enumerate(WORDS)], F.col("node").alias(side))
+            near = near.join(named, [f"{side}{k}" for k in range(WIDE)])
+        links = links.union(equal).union(near.select("a", "b"))
     found = connected_components(links)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
