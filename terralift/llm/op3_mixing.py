@@ -24,7 +24,7 @@ from terralift.llm.common import materialize
 
 BLOCK = 32
 SHARD = 4096
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the white space behind it, read without going back.
 STEP = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
