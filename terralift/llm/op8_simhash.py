@@ -69,18 +69,25 @@ def with_fingerprints(docs: DataFrame, keep: list[str], shingle: int = 4, wide:
 WIDE = 4
 
 
-def wide_fingerprint(text: str, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """256 majority bits over the different shingles of a text: the share of differing bits of two texts is the angle
-    between their shingle sets over pi, up to chance."""
+def shingle_set(text: str, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """XXH64 values of the different shingles of a whole text, in order; none for a text without words."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return np.zeros(WIDE, np.int64)
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     first = [0, *np.cumsum([len(w) + 1 for w in words]).tolist()]
     digest = xxhash.xxh64_intdigest
     n = max(1, len(words) - shingle + 1)
     last = first[min(shingle, len(words)) :]
-    values = np.unique(np.array([digest(line[a : b - 1], seed) for a, b in zip(first[:n], last, strict=False)], np.uint64))
+    return np.unique(np.array([digest(line[a : b - 1], seed) for a, b in zip(first[:n], last, strict=False)], np.uint64))
+
+
+def wide_fingerprint(text: str, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """256 majority bits over the different shingles of a text: the share of differing bits of two texts is the angle
+    between their shingle sets over pi, up to chance."""
+    values = shingle_set(text, shingle, seed)
+    if not len(values):
+        return np.zeros(WIDE, np.int64)
     out = np.empty(WIDE, np.int64)
     for k in range(WIDE):
         ones = np.zeros(64, np.int64)
@@ -91,11 +98,11 @@ def wide_fingerprint(text: str, shingle: int = 5, seed: int = 42) -> np.ndarray:
     return out
 
 
-def differing_bits(similarity: float) -> int:
-    """Bits of a wide fingerprint that sets of this Jaccard similarity differ in, on average and half a deviation more:
-    two of three pairs at just this similarity are within it."""
+def differing_bits(similarity: float, deviations: float = 3) -> int:
+    """Bits of a wide fingerprint that sets of this Jaccard similarity differ in, on average and so many deviations
+    more: with three, 998 of 1,000 pairs at just this similarity are within it."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * WIDE * share + 0.5 * math.sqrt(64 * WIDE * share * (1 - share)))
+    return round(64 * WIDE * share + deviations * math.sqrt(64 * WIDE * share * (1 - share)))
 
 
 def gray_rank(x: Column) -> Column:
@@ -262,9 +269,10 @@ def hamming_links(nodes: DataFrame, max_bits: int = 4, tile: int = 4096) -> Data
 
 def sampled_masks(nodes: int, group: int = 4, recall: float = 0.98, similarity: float = 0.8, seed: int = 19) -> list[list[int]]:
     """Bit samples (a mask for each word) of tables that a pair of the given similarity shares one of, with the given
-    chance; samples are as long as it takes for about ``group`` random nodes to share a class."""
+    chance even if it differs in two deviations more bits than such pairs do; samples are as long as it takes for about
+    ``group`` random nodes to share a class."""
     bits = max(8, math.ceil(math.log2(max(nodes, 2) / group)))
-    same = (1 - differing_bits(similarity) / (64 * WIDE)) ** bits
+    same = (1 - differing_bits(similarity, 2) / (64 * WIDE)) ** bits
     tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
     draw = np.random.default_rng(seed)
     out = []
@@ -321,8 +329,9 @@ def _near_in_tables(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterato
 
 
 def similar_links(nodes: DataFrame, similarity: float = 0.8, tile: int = 4096, most_known: int = 10_000) -> DataFrame:
-    """``a0 .. a3, b0 .. b3``: links between wide fingerprints (``w0 .. w3 long``, all different) that differ in no more
-    bits than sets of this similarity do. Pairs meet in tables of sampled bits.
+    """``a0 .. a3, b0 .. b3``: links that keep all wide fingerprints (``w0 .. w3 long``, all different) connected that
+    meet in tables of sampled bits and differ in no more bits than sets of this similarity do. They only propose pairs:
+    ``verified_links`` decides.
 
     The rows of all tables are shuffled once. Classes beyond ``tile`` rows are found by a count of keys alone and cut
     into tiles that meet in pairs; their keys are broadcast if there are at most ``most_known``, else joined by merging.
@@ -339,30 +348,101 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, tile: int = 4096, m
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _near_in_tables(b, differing_bits(similarity)), LINK)
 
 
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of texts whose sets are similar; rows (root, i, j, t, node, words..., set) come sorted by root, i and j."""
+    most, held, held_key = differing_bits(similarity), [], None
+
+    def links(rows: pa.Table) -> pa.RecordBatch | None:
+        columns = [rows.column(k).to_numpy().astype(np.int64) for k in range(WIDE + 5)]
+        i, j, t, node = columns[1][0], columns[2][0], columns[3], columns[4]
+        codes = np.stack(columns[5:]).view(np.uint64)
+        sets = [np.frombuffer(b, np.uint64) for b in rows.column(WIDE + 5).to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        kinds, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        own = [ids[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+        mine, forest = np.zeros(len(kinds), bool), _Forest(len(node))
+        out: list[tuple[int, int]] = []
+        for x in np.flatnonzero(t == i):
+            y = np.arange(x + 1, len(node)) if i == j else np.flatnonzero(t == j)
+            y = y[(forest.root[y] != forest.root[x]) & (np.minimum(sizes[y], sizes[x]) >= similarity * np.maximum(sizes[y], sizes[x]) - 1e-6)]
+            y = y[np.bitwise_count(codes[:, y] ^ codes[:, [x]]).sum(0, dtype=np.int64) <= most]
+            y = y[sizes[y] > 0]
+            if not len(y):
+                continue
+            mine[own[x]] = True
+            both = np.array([np.count_nonzero(mine[own[k]]) for k in y])
+            mine[own[x]] = False
+            hit = y[both / (sizes[x] + sizes[y] - both) >= similarity]
+            out += [(x, k) for k in hit]
+            forest.join(np.full(len(hit), x), hit)
+        if not out:
+            return None
+        a, b = np.array(out).T
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            key = tuple(keys[:, s].tolist())
+            if key != held_key:
+                if held and (made := links(pa.Table.from_batches(held))) is not None:
+                    yield made
+                held, held_key = [], key
+            held.append(batch.slice(s, e - s))
+    if held and (made := links(pa.Table.from_batches(held))) is not None:
+        yield made
+
+
+def verified_links(docs: DataFrame, same: DataFrame, near: DataFrame, similarity: float, tile: int = 2048, tile_bytes: int = 32 << 20) -> DataFrame:
+    """``a, b``: links between nodes of ``same`` (``node, h, w0 .. w3``; ``h`` is the hash of one text of each) whose sets
+    of different five-word shingles have at least this Jaccard similarity.
+
+    The proposed links ``near`` deal the nodes into groups, and the pairs within a group that differ in few enough bits
+    are compared by their sets, unless links found before connect them. A group beyond ``tile`` nodes or ``tile_bytes``
+    of sets is cut into tiles that meet in pairs, one task each.
+    """
+    name = lambda side: F.xxhash64(*[f"{side}{k}" for k in range(WIDE)])
+    groups = connected_components(near.select(name("a").alias("a"), name("b").alias("b"))).withColumnRenamed("node", "id")
+    members = materialize(same.withColumn("id", name("w")).join(groups, "id"))
+    asked = materialize(members.select("h").distinct())
+    texts = docs.select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), "text").join(asked, "h")
+    sets = map_text(texts, lambda t: {"set": [shingle_set(x).tobytes() for x in t]}, [T.StructField("set", T.BinaryType())], keep=["h"])
+    held = materialize(members.join(sets.groupBy("h").agg(F.first("set").alias("set")), "h"))
+    cuts = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum(F.length("set")) / tile_bytes))
+    tiled = held.join(held.groupBy("root").agg(cuts.cast("int").alias("g")), "root").withColumn("t", F.pmod(F.xxhash64("id", F.lit(5)), F.col("g")).cast("int"))
+    tiled = tiled.withColumn("u", F.explode(F.sequence(F.lit(0), F.greatest(F.col("g") - 1, F.lit(0)))))
+    dealt = tiled.select("root", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "node", *WORDS, "set")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return dealt.mapInArrow(lambda b: _verified(b, similarity), "a long, b long")
+
+
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", keep: list[str] | None = None, shingle: int = 4, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
     """``doc_id, *keep, fp, root, component_id``: the smallest id reachable over links of at most ``max_bits`` bits.
 
-    With ``similarity``, texts whose five-word shingles are as similar as that, as wide fingerprints estimate it, are
-    linked as well; 64 bits can't tell these from others, and tables of sampled bits find them with a chance of 0.98.
+    With ``similarity``, texts whose sets of five-word shingles have at least this Jaccard similarity are linked as well.
+    Wide fingerprints only propose these pairs (64 bits can't tell them from others), the sets decide.
 
     ``root`` is the smallest fingerprint of the component, as a signed integer.
     """
-    marked = materialize(with_fingerprints(docs, [doc_id, *(keep or [])], shingle, similarity is not None))
+    hashed = [] if similarity is None else ["__h"]
+    source = docs.withColumns({h: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) for h in hashed}) if hashed else docs
+    marked = materialize(with_fingerprints(source, [doc_id, *(keep or []), *hashed], shingle, similarity is not None))
     nodes = materialize(marked.groupBy("fp").agg(F.min(doc_id).alias("least")))
     links = hamming_links(nodes.select("fp"), max_bits)
     if similarity is not None:
-        same = materialize(marked.groupBy(*WORDS).agg(F.min("fp").alias("node")))
+        same = materialize(marked.groupBy(*WORDS).agg(F.min("fp").alias("node"), F.min("__h").alias("h")))
         equal = marked.select(F.col("fp").alias("a"), *WORDS).distinct().join(same, WORDS).select("a", F.col("node").alias("b")).where("a <> b")
         near = materialize(similar_links(same.select(*WORDS), similarity))
-        for side in "ab":
-            named = same.select(*[F.col(w).alias(f"{side}{k}") for k, w in enumerate(WORDS)], F.col("node").alias(side))
-            near = near.join(named, [f"{side}{k}" for k in range(WIDE)])
-        links = links.union(equal).union(near.select("a", "b"))
+        links = links.union(equal).union(verified_links(docs, same, near, similarity))
     found = connected_components(links)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = materialize(rooted.join(named, "root").select("fp", "root", "component_id"))
-    return marked.join(member, "fp")
+    return marked.drop(*hashed).join(member, "fp")
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4, similarity: float | None = 0.8) -> DataFrame:

@@ -151,3 +151,32 @@ def test_one_of_each(spark):
     assert len(rows) == len({r["root"] for r in groups})
     assert {r["doc_id"] for r in rows} == {r["component_id"] for r in groups}
     assert op8_simhash.one_of_each_group(documents(spark, [])).count() == 0
+
+
+def test_links_are_as_similar_as_asked(spark):
+    draw = random.Random(31)
+    rows = []
+    for i in range(160):
+        words = [f"w{i}x{draw.randint(0, 10**6)}" for _ in range(120)]
+        rows.append(" ".join(words))
+        for at in draw.sample(range(4, 116, 6), 1 + i % 4):  # each change replaces five of 116 shingles
+            words[at] = f"new{draw.random()}"
+        rows.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in op8_simhash.simhash_groups(docs, similarity=0.8).collect()}
+    due = lost = below = 0
+    for a in range(0, len(rows), 2):
+        one, two = shingles(rows[a]), shingles(rows[a + 1])
+        close = (plain_fingerprint(rows[a]) ^ plain_fingerprint(rows[a + 1])).bit_count() <= 4
+        if len(one & two) / len(one | two) >= 0.8:
+            due += 1
+            lost += got[a] != got[a + 1]
+        elif not close:
+            below += 1
+            assert got[a] != got[a + 1]
+    assert due > 40 and below > 60 and lost <= 0.02 * due
+    nodes = spark.createDataFrame([(i, i, *op8_simhash.wide_fingerprint(t).tolist()) for i, t in enumerate(rows)], "node long, doc_id long, w0 long, w1 long, w2 long, w3 long")
+    same = nodes.join(docs, "doc_id").selectExpr("node", "xxhash64(text) as h", "w0", "w1", "w2", "w3")
+    near = op8_simhash.similar_links(same.select("w0", "w1", "w2", "w3"), 0.8)
+    found = [{frozenset((r["a"], r["b"])) for r in op8_simhash.verified_links(docs, same, near, 0.8, tile=t).collect()} for t in (1, 2048)]
+    assert found[0] == found[1] and len(found[0]) == due - lost
