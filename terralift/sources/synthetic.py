@@ -8,7 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralift.errors import ValidationError
@@ -96,7 +96,7 @@ def apply_lift(df: DataFrame, lift: Lift, geo: str = "geo_id", time: str = "date
     return df.withColumns(changes)
 
 
-def balanced_round(df: DataFrame, value: str, total: int, by: list[str], order: list[str]) -> DataFrame:
+def balanced_round(df: DataFrame, value: str, total: int | Column, by: list[str], order: list[str]) -> DataFrame:
     """``value`` rounded to whole numbers that add up to ``total`` in each group, largest remainders first."""
     from pyspark.sql import Window
 

@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 
 from terralift.plans.assignment_queries import QUERIES as ASSIGNMENTS
+from terralift.plans.extra_queries import QUERIES as EXTRA
 from terralift.plans.portfolio_queries import QUERIES as PORTFOLIO
 
 NATIONS = 6
@@ -47,3 +48,16 @@ def test_every_order_makes_an_interval(spark, folder):
             weeks[geo, day].add(test)
             day += timedelta(days=7)
     assert {(r["geo_id"], r["week"]): set(r["tests"].split(",")) for r in run("plan_calendar")} == weeks
+
+
+def test_no_date_prefix(spark, folder, tmp_path):
+    rows = EXTRA["rounding_to_total"](spark, folder).collect()
+    plain = defaultdict(int)
+    for r in spark.read.parquet(f"{folder}/orders.parquet").collect():
+        plain[str(r["o_custkey"] % NATIONS), r["o_orderdate"].month] += 1
+    assert {(r["geo_id"], r["date"].month) for r in rows} == set(plain)
+    for geo in {g for g, _ in plain}:
+        assert sum(r["rounded"] for r in rows if r["geo_id"] == geo) == round(1.08 * sum(n for (g, _), n in plain.items() if g == geo))
+    events = [(datetime(2024, 1, day), u, "purchase", 1.0) for u in (1, 2) for day in range(1, 11) for _ in range(2 if u == 1 or day < 9 else 1)]
+    spark.createDataFrame(events, "ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert {r["geo_id"]: r["monotone"] for r in EXTRA["metric_lift_monotone"](spark, str(tmp_path)).collect()} == {"1": True, "2": False}
