@@ -86,8 +86,8 @@ def assignment_ranking(spark: SparkSession, d: str) -> DataFrame:
     return r.select("assignment", F.round("max_smd", 8).alias("max_smd"))
 
 
-@query("rounding_to_total", f"""WITH {ORDERS_SQL}, v AS (SELECT geo_id, date, orders * 1.08 AS v FROM orders_panel WHERE date < DATE '1996-01-01'), r AS (SELECT *, row_number() OVER (PARTITION BY geo_id ORDER BY v - floor(v) DESC, date) AS k, sum(floor(v)) OVER (PARTITION BY geo_id) AS s FROM v)
-SELECT geo_id, date, CAST(floor(v) + CASE WHEN k <= 40 - s THEN 1 ELSE 0 END AS BIGINT) AS rounded FROM r""")
+@query("rounding_to_total", f"""WITH {ORDERS_SQL}, v AS (SELECT geo_id, date, orders * 1.08 AS v FROM orders_panel), r AS (SELECT *, round(sum(v) OVER (PARTITION BY geo_id)) AS total, row_number() OVER (PARTITION BY geo_id ORDER BY v - floor(v) DESC, date) AS k, sum(floor(v)) OVER (PARTITION BY geo_id) AS s FROM v)
+SELECT geo_id, date, CAST(floor(v) + CASE WHEN k <= total - s THEN 1 ELSE 0 END AS BIGINT) AS rounded FROM r""")
 def rounding_to_total(spark: SparkSession, d: str) -> DataFrame:
     """Whole numbers by largest remainders, up to each market's rounded total."""
     v = orders_panel(spark, d).df.select("geo_id", "date", (F.col("orders") * F.lit("1.08").cast("decimal(3,2)")).alias("v"))
@@ -95,7 +95,7 @@ def rounding_to_total(spark: SparkSession, d: str) -> DataFrame:
     return balanced_round(v, "v", total, ["geo_id"], ["date"]).select("geo_id", "date", "rounded")
 
 
-@query("metric_lift_monotone", f"WITH {EVENTS_SQL}, x AS (SELECT geo_id, orders, lead(orders) OVER (PARTITION BY geo_id ORDER BY date) AS next FROM events_panel WHERE date < DATE '2024-01-04') SELECT geo_id, bool_and(next IS NULL OR next >= orders) AS monotone FROM x GROUP BY 1")
+@query("metric_lift_monotone", f"WITH {EVENTS_SQL}, x AS (SELECT geo_id, orders, lead(orders) OVER (PARTITION BY geo_id ORDER BY date) AS next FROM events_panel) SELECT geo_id, bool_and(next IS NULL OR next >= orders) AS monotone FROM x GROUP BY 1")
 def metric_lift_monotone(spark: SparkSession, d: str) -> DataFrame:
     return power.monotone(events_panel(spark, d).df, ["geo_id"], "date", "orders")
 

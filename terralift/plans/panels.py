@@ -105,7 +105,7 @@ INTERVALS_SQL = """intervals AS (
     CASE WHEN o_totalprice > 150000 THEN 'treatment' ELSE 'control' END AS role,
     CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) + 27 AS end_date,
     CASE o_orderkey % 3 WHEN 0 THEN 'planned' WHEN 1 THEN 'active' ELSE 'completed' END AS status
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0
+  FROM orders JOIN customer ON o_custkey = c_custkey
 ), dates AS (
   SELECT test_id, geo_id, role, status, CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS date FROM intervals
 )"""
