@@ -10,8 +10,14 @@ its windows cover. Then
 2. a run whose bytes occur twice is repeated all through, and copies of it cost nothing more;
 3. of all other runs one of each kind is sent, as bytes, to the task of its anchor, which sorts suffixes.
 
-A large group of runs is split, within its task, by the bytes that neighbouring windows share. An anchor with more
-than ``MOST_RUNS`` different runs isn't gathered: its windows are counted by their own hashes all over the cluster.
+The runs of an anchor with more than ``SPREAD`` kinds are cut by the place of the anchor and the bytes that neighbouring
+windows share, and each class of parts goes to a task of its own; a large group within a task is split the same way. An
+anchor with more than ``MOST_RUNS`` different runs isn't gathered: its windows are counted by their own hashes all over
+the cluster.
+
+What differs from one sort of all suffixes: difference covers order the suffixes of what step 3 brings to a task. A sort
+of all suffixes would move some sixteen bytes for two of three bytes of text in each of its rounds; runs equal by hash
+(step 2) and anchors beyond ``MOST_RUNS`` are settled by grouping.
 Nothing is sampled or capped, and the rows that move follow the size of the input.
 
 Cases: null counts as empty; texts under ``LENGTH`` bytes lose nothing; repeated rows repeat each other's strings, so
@@ -29,13 +35,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terralift.llm.common import materialize, mix64
 
 LENGTH = 400
 GRAM = 128
 BATCH = 1 << 19
+SPREAD = 256
 MOST_RUNS = 100_000
 SPLITS = (64, 8, 1)
 PLACE_BITS = 28
@@ -129,6 +135,17 @@ def repeated_in(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
     return repeated_starts(text, starts, length)
 
 
+def cut_run(data: bytes, n: int, off: int, size: int, length: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """(class, shared bytes, first window, last window) of the parts of a run whose anchor stands ``off`` bytes into it.
+
+    Windows whose anchor stands in one stretch of ``size`` places share the bytes between the last start and the first
+    end, and equal windows have their anchor at one place, so windows of different classes or shared bytes differ.
+    """
+    for b in range((off - n + 1) // size, off // size + 1):
+        a, z = max(0, off - size * b - size + 1), min(n - 1, off - size * b)
+        yield b, data[off - size * b : off - size * b - size + 1 + length], a, z
+
+
 def compare(group: list[tuple[bytes, int, int]], length: int, splits: tuple[int, ...] = SPLITS, most: int = BATCH) -> list[np.ndarray]:
     """Repeated windows of each of the runs (bytes, windows, place of the anchor) of one anchor."""
     found: list[list[np.ndarray]] = [[] for _ in group]
@@ -145,13 +162,9 @@ def compare(group: list[tuple[bytes, int, int]], length: int, splits: tuple[int,
             for i, _, _, _, shift in parts:
                 found[i].append(np.array([shift]))
             continue
-        # windows whose anchor stands in one stretch of places share the bytes between the last start and the first end
-        size = splits[level]
         classes: dict[tuple[int, bytes], list] = {}
         for i, c, n, o, shift in parts:
-            for b in range((o - n + 1) // size, o // size + 1):
-                a, z = max(0, o - size * b - size + 1), min(n - 1, o - size * b)
-                shared = c[o - size * b : o - size * b - size + 1 + length]
+            for b, shared, a, z in cut_run(c, n, o, splits[level], length):
                 classes.setdefault((b, hashlib.blake2b(shared, digest_size=16).digest()), []).append((i, c[a : z + length], z - a + 1, o - a, shift + a))
         todo.extend((p, level + 1) for p in classes.values())
     return [np.unique(np.concatenate(f)) if f else np.zeros(0, np.int64) for f in found]
@@ -166,28 +179,31 @@ def _ranges(hits: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compare_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of runs (ah, ch, n, off, bytes), which come sorted by anchor and content."""
+    """Repeated windows of runs or parts of runs (part, ah, ch, shift, n, off, bytes), which come sorted by the first four."""
     out: list[tuple[int, int, int, int]] = []
-    group: dict[int, tuple[bytes, int, int]] = {}
-    now: int | None = None
-    # small groups share one suffix order, as windows of different anchors can't be equal
-    small: list[tuple[tuple[int, int], bytes, int]] = []
+    group: dict[tuple[int, int], tuple[bytes, int, int]] = {}
+    now: tuple[int, int] | None = None
+    # small groups share one suffix order, as windows of different anchors or parts can't be equal
+    small: list[tuple[tuple[int, int, int], bytes, int]] = []
+
+    def found(ah: int, ch: int, shift: int, hits: np.ndarray) -> None:
+        out.extend((ah, ch, a + shift, b + shift) for a, b in _ranges(hits))
 
     def sort_small() -> None:
         if small:
             for (name, _, _), (_, hits) in zip(small, _mark([(i, c, n) for i, (_, c, n) in enumerate(small)], length), strict=True):
-                out.extend((*name, a, b) for a, b in _ranges(hits))
+                found(*name, hits)
             small.clear()
 
     def close() -> None:
         if len(group) > 1:
             if sum(len(c) for c, _, _ in group.values()) <= BATCH // 2:
-                small.extend(((now, ch), c, n) for ch, (c, n, _) in group.items())
+                small.extend(((now[1], *name), c, n) for name, (c, n, _) in group.items())
                 if sum(len(c) for _, c, _ in small) > BATCH // 2:
                     sort_small()
             else:
-                for ch, hits in zip(group, compare(list(group.values()), length), strict=True):
-                    out.extend((now, ch, a, b) for a, b in _ranges(hits))
+                for name, hits in zip(group, compare(list(group.values()), length), strict=True):
+                    found(now[1], *name, hits)
         group.clear()
 
     def flush() -> pa.RecordBatch:
@@ -196,11 +212,11 @@ def _compare_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
         return pa.RecordBatch.from_arrays(arrays, ["ah", "ch", "s", "e"])
 
     for batch in batches:
-        for ah, ch, n, off, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if ah != now:
+        for part, ah, ch, shift, n, off, data in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if (part, ah) != now:
                 close()
-                now = ah
-            group[ch] = (data, n, off)
+                now = part, ah
+            group[ch, shift] = (data, n, off)
         if len(out) > 50_000:
             yield flush()
     close()
@@ -209,8 +225,9 @@ def _compare_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
         yield flush()
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Bytes of the runs that each text was asked for; columns in: wanted, text."""
+def _cut_out(batches: Iterator[pa.RecordBatch], length: int, spread: int) -> Iterator[pa.RecordBatch]:
+    """Bytes of the runs that each text was asked for, in parts if their anchor has over ``spread`` kinds; columns in:
+    wanted, text."""
     for batch in batches:
         rows: list[tuple] = []
         held = 0
@@ -218,8 +235,17 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             raw = text.as_buffer().to_pybytes()
             for w in wanted:
                 data = raw[w["p0"] : w["p0"] + w["n"] - 1 + length]
-                rows.append((w["ah"], w["ch"], w["n"], w["off"], data))
-                held += len(data)
+                if w["kinds"] <= spread:
+                    rows.append((0, w["ah"], w["ch"], 0, w["n"], w["off"], data))
+                    held += len(data)
+                    continue
+                for b, shared, first, last in cut_run(data, w["n"], w["off"], SPLITS[0], length):
+                    part = xxhash.xxh64_intdigest(shared, b % (1 << 64)) >> 1
+                    rows.append((part, w["ah"], w["ch"], first, last - first + 1, w["off"] - first, data[first : last + length]))
+                    held += last - first + length
+                if held > 8 << 20:
+                    yield _contexts(rows)
+                    rows, held = [], 0
             if held > 8 << 20:
                 yield _contexts(rows)
                 rows, held = [], 0
@@ -228,19 +254,19 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _contexts(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["ah", "ch", "n", "off", "data"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "ah", "ch", "shift", "n", "off", "data"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Each window of runs (ah, ch, n, off, bytes) with its hash."""
+    """Each window of whole runs (part, ah, ch, shift, n, off, bytes) with its hash."""
     for batch in batches:
-        for ah, ch, n, _, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for ah, ch, n, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 6)), strict=True):
             names = [hashlib.blake2b(data[i : i + length], digest_size=8).digest() for i in range(n)]
             yield pa.RecordBatch.from_arrays([pa.array([ah] * n), pa.array([ch] * n), pa.array(range(n), pa.int32()), pa.array(np.frombuffer(b"".join(names), np.int64))], ["ah", "ch", "s", "w"])
 
 
-def repeated_runs(found: DataFrame, texts: DataFrame, length: int, most_runs: int) -> DataFrame:
+def repeated_runs(found: DataFrame, texts: DataFrame, length: int, most_runs: int, spread: int = SPREAD) -> DataFrame:
     """``ah, ch, s, e``: of each kind of run, the windows (first, end) that are repeated somewhere."""
     kinds = found.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("d", "k", "p0", "n", "off")).alias("one"))
     anchors = kinds.groupBy("ah").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
@@ -248,12 +274,12 @@ def repeated_runs(found: DataFrame, texts: DataFrame, length: int, most_runs: in
     whole = kinds.where("times > 1").select("ah", "ch", F.lit(0).alias("s"), F.col("n").alias("e"))
     asked = kinds.where("kinds > 1").groupBy("d", "k").agg(F.collect_list(F.struct("ah", "ch", "p0", "n", "off", "kinds")).alias("wanted"))
     sent = texts.join(asked, ["d", "k"])
-    shape = "ah long, ch long, n int, off int, data binary"
-    few = sent.select(F.filter("wanted", lambda w: w["kinds"] <= most_runs).alias("wanted"), "text").mapInArrow(lambda b: _cut_out(b, length), shape)
-    compared = few.repartition("ah").sortWithinPartitions("ah", "ch").mapInArrow(lambda b: _compare_groups(b, length), "ah long, ch long, s int, e int")
+    shape = "part long, ah long, ch long, shift int, n int, off int, data binary"
+    few = sent.select(F.filter("wanted", lambda w: w["kinds"] <= most_runs).alias("wanted"), "text").mapInArrow(lambda b: _cut_out(b, length, spread), shape)
+    compared = few.repartition("ah", "part").sortWithinPartitions("part", "ah", "ch", "shift").mapInArrow(lambda b: _compare_groups(b, length), "ah long, ch long, s int, e int")
     parts = [whole, compared]
     if kinds.where(F.col("kinds") > most_runs).limit(1).count():
-        many = sent.select(F.filter("wanted", lambda w: w["kinds"] > most_runs).alias("wanted"), "text").mapInArrow(lambda b: _cut_out(b, length), shape)
+        many = sent.select(F.filter("wanted", lambda w: w["kinds"] > most_runs).alias("wanted"), "text").mapInArrow(lambda b: _cut_out(b, length, 1 << 62), shape)
         windows = many.dropDuplicates(["ah", "ch"]).mapInArrow(lambda b: _windows(b, length), "ah long, ch long, s int, w long")
         again = windows.groupBy("ah", "w").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
         parts.append(windows.join(again, ["ah", "w"]).select("ah", "ch", "s", (F.col("s") + 1).alias("e")))
@@ -299,37 +325,18 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(raw).alias("k"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), raw.cast("binary").alias("text"))
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, most_runs: int = MOST_RUNS) -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, most_runs: int = MOST_RUNS, spread: int = SPREAD) -> DataFrame:
     """``d, k, spans``: byte spans of each text (by id and hash) that repeated strings cover; they may overlap."""
     texts = _keyed(docs, doc_id, text).select("d", "k", "text")
     long = texts.where(F.octet_length("text") >= length)
     found = materialize(long.mapInArrow(lambda b: _rows(b, length), RUN))
-    again = repeated_runs(found, long, length, most_runs)
+    again = repeated_runs(found, long, length, most_runs, spread)
     spans = found.join(again, ["ah", "ch"]).select("d", "k", (F.col("p0") + F.col("s")).alias("s"), (F.col("p0") + F.col("e") + (length - 1)).alias("e"))
     return spans.groupBy("d", "k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, most_runs: int = MOST_RUNS) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, most_runs: int = MOST_RUNS, spread: int = SPREAD) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    spans = repeated_spans(docs, doc_id, text, length, most_runs)
+    spans = repeated_spans(docs, doc_id, text, length, most_runs, spread)
     joined = _keyed(docs, doc_id, text).join(spans, ["d", "k"], "left").select("doc_id", "spans", "text")
     return joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def kept_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``doc_id, kept binary``: the bytes that are left of every document."""
-    spans = repeated_spans(docs, doc_id, text, length)
-    joined = _keyed(docs, doc_id, text).join(spans, ["d", "k"], "left").select("doc_id", "spans", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for spans, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                at, parts = 0, []
-                for a, b in merge_spans([(s["s"], s["e"]) for s in spans or ()]):
-                    parts.append(raw[at:a])
-                    at = b
-                made.append(b"".join([*parts, raw[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "kept"])
-
-    return joined.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept", T.BinaryType())]))

@@ -57,8 +57,8 @@ def corpus(seed: int) -> list[str]:
     return texts
 
 
-@pytest.mark.parametrize("most_runs", [100_000, 3])
-def test_against_every_string(spark, monkeypatch, most_runs):
+@pytest.mark.parametrize(("most_runs", "spread"), [(100_000, 256), (100_000, 2), (3, 2)])
+def test_against_every_string(spark, most_runs, spread):
     docs = documents(spark, [*corpus(1), None, ""])
     local = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
     covers = plain_cover([t for _, t in local], 400)
@@ -67,7 +67,7 @@ def test_against_every_string(spark, monkeypatch, most_runs):
         edges = np.diff(np.concatenate([[0], cover.astype(int), [0]]))
         kept = bytes(b for b, c in zip(t, cover, strict=True) if not c)
         want[doc_id, len(t), int(cover.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
-    got = Counter(tuple(r) for r in op2_suffix.remove_repeats(docs, most_runs=most_runs).collect())
+    got = Counter(tuple(r) for r in op2_suffix.remove_repeats(docs, most_runs=most_runs, spread=spread).collect())
     assert got == want
     assert op2_suffix.remove_repeats(documents(spark, [])).count() == 0
 
