@@ -99,20 +99,40 @@ WITH sized AS (
 ), sources AS (
   SELECT source, rank, source_size, least(stop, weight * coalesce(max(CASE WHEN level <= soon THEN level END) OVER (), CAST('inf' AS DOUBLE))) AS target,
     greatest(1, CAST(ceil(source_size / {op3_mixing.BLOCK}) AS BIGINT)) AS blocks,
-    CASE WHEN source_size = 0 THEN 0 ELSE CAST(least(round(target * blocks / source_size), blocks * 3) AS BIGINT) END AS slots
+    CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(least(target * blocks / source_size, CAST(blocks * 3 AS DOUBLE)) * {op3_mixing.FINE} + 0.5) AS BIGINT) END AS weight
   FROM levels
+), everything AS (
+  SELECT CAST(sum(weight) AS BIGINT) AS w, CAST((sum(weight) + {op3_mixing.FINE // 2}) // {op3_mixing.FINE} AS BIGINT) AS n FROM sources
+), shards AS (
+  SELECT shard, w, CASE WHEN shard < n // {op3_mixing.SHARD} THEN {op3_mixing.SHARD} ELSE n % {op3_mixing.SHARD} END AS size
+  FROM (SELECT w, n, unnest(range((n + {op3_mixing.SHARD - 1}) // {op3_mixing.SHARD})) AS shard FROM everything)
+), parts AS (
+  SELECT s.rank, h.shard, h.w, h.size, (h.size * s.weight) // h.w AS whole, (h.size * s.weight) % h.w AS rem FROM shards h CROSS JOIN sources s WHERE s.weight > 0
+), laid AS (
+  SELECT *, CAST(coalesce(sum(rem) OVER (PARTITION BY shard ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS low,
+    CAST(coalesce(sum(whole) OVER (PARTITION BY rank ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first,
+    CAST(size - sum(whole) OVER (PARTITION BY shard) AS BIGINT) AS over, CAST(sum(rem) OVER (PARTITION BY shard) AS BIGINT) AS total,
+    CAST(sum(whole) OVER (PARTITION BY rank) AS BIGINT) AS sure FROM parts
+), draws AS (
+  SELECT shard, draw, ('0x' || substr(md5(shard || ':' || draw), 1, 15))::BIGINT % total AS u
+  FROM (SELECT DISTINCT shard, total, unnest(range(over)) AS draw FROM laid WHERE over > 0)
+), numbered AS (
+  SELECT l.rank, l.sure + row_number() OVER (PARTITION BY l.rank ORDER BY d.shard, d.draw) - 1 AS j
+  FROM draws d JOIN laid l ON l.shard = d.shard AND d.u >= l.low AND d.u < l.low + l.rem
+), slots AS (
+  SELECT rank, j FROM numbered UNION ALL SELECT rank, unnest(range(first, first + whole)) FROM laid
 ), buckets AS (
   SELECT greatest(1, CAST(ceil(count(*) / {op3_mixing.BUCKET_ROWS}) AS BIGINT)) AS n FROM sized
 ), placed AS (
   SELECT s.doc_id, s.size, t.rank, t.source_size, t.target,
-    coalesce(sum(s.size) OVER (PARTITION BY t.rank ORDER BY coalesce(s.doc_id, 0) % b.n, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+    coalesce(sum(s.size) OVER (PARTITION BY t.rank ORDER BY (coalesce(s.doc_id, 0) + s.size) % b.n, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM sized s JOIN sources t ON s.source IS NOT DISTINCT FROM t.source CROSS JOIN buckets b WHERE s.size > 0
 ), pieces AS (
   SELECT *, unnest(range(CAST(pos // {op3_mixing.BLOCK} AS BIGINT), CAST((pos + size - 1) // {op3_mixing.BLOCK} + 1 AS BIGINT))) AS block FROM placed
 ), x0 AS (
   SELECT rank, j % blocks AS y, blocks AS n, rank * 31 + j // blocks AS salt, CAST(floor(log2(blocks + 0.5)) AS INTEGER) AS power,
     CAST(1 AS BIGINT) << power AS top, greatest(1, power // 2) AS half
-  FROM (SELECT rank, blocks, unnest(range(slots)) AS j FROM sources)
+  FROM slots JOIN sources USING (rank) WHERE j < blocks * 3
 ), {", ".join(rounds)}, uses AS (
   SELECT rank, y AS block, count(*) AS uses FROM {last} GROUP BY 1, 2
 )

@@ -61,8 +61,42 @@ def test_mix(spark):
             assert set(plain(r["text"])) <= texts_of[r["doc_id"]]
     words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in mixed.collect())
     assert words == sum(taken.values())
-    shards = op3_mixing.mix_shards(docs, block=8, shard=64).collect()
-    assert sum(r["draws"] for r in shards) == pytest.approx(sum(want.values()) / 8, rel=0.05)
+
+
+@pytest.mark.parametrize("weights", [[10_240, 5_000, 77, 3], [1], [1024] * 40, [3_000_000, 1]])
+def test_shards_draw_multinomial_counts(spark, weights):
+    sources = spark.createDataFrame(list(enumerate(weights)), "rank long, weight long")
+    rows = op3_mixing.shard_counts(sources, shard=16).collect()
+    slots = (sum(weights) + 512) // 1024
+    by_shard, numbers = Counter(), defaultdict(list)
+    for r in rows:
+        by_shard[r["shard"]] += r["n"]
+        numbers[r["rank"]] += range(r["first"], r["first"] + r["n"])
+    want = {i: min(16, slots - 16 * i) for i in range(-(-slots // 16))}
+    assert dict(by_shard) == want
+    for rank, found in numbers.items():  # a source's slots are numbered without gaps
+        assert sorted(found) == list(range(len(found)))
+        due = weights[rank] / 1024
+        assert abs(len(found) - due) <= 1 + 4 * max(1, len(want)) ** 0.5
+    drawn = {(r["rank"], r["shard"]): r["n"] for r in rows}
+    assert len(drawn) <= len(rows)
+
+
+def test_columns_called_like_the_plans(spark):
+    names = ["plans", "ats", "tie", "rank", "size", "block", "at", "parts", "p", "bucket", "target"]
+    docs = documents(spark, texts(3, 60))
+    for n in names:
+        docs = docs.withColumn(n, F.lit("clash"))
+    mixed = op3_mixing.mix_documents(docs, block=8)
+    assert mixed.columns == docs.columns and mixed.where("plans = 'clash'").count() == mixed.count() > 0
+    assert op3_mixing.mix_sizes(docs, block=8).count() == docs.count()
+
+
+def test_hot_and_missing_ids(spark):
+    rows = [(None, " ".join(["w"] * (1 + i % 50)), "hot") for i in range(300)] + [(7, " ".join(["v"] * (1 + i % 40)), "hot") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = op3_mixing.mix_sizes(docs, block=4).collect()
+    assert len(got) == 600 and sum(r["taken"] for r in got) == pytest.approx(got[0]["target"], rel=0.02)
 
 
 def test_nothing(spark):
