@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralift.llm.common import materialize
@@ -14,6 +14,17 @@ def _mark(edges: DataFrame) -> tuple[int, object]:
     return row[0], row[1]
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """``a, b``: the same components as ``links`` in fewer edges, where many links of a node lead to few smaller nodes.
+
+    A node keeps its smallest neighbour, and its other smaller neighbours are linked to that one. Links are dealt by
+    their larger node, so this is for links whose number for each larger node is bounded, as for forests by class.
+    """
+    lower = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    rows = lower.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return rows.select("a", F.col("m").alias("b")).union(rows.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, root`` for the nodes of ``edges`` (``a long, b long``): the root is the smallest node of the component.
 

@@ -1,13 +1,15 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-Fingerprints: 64 majority bits of the XXH64 values of word shingles. Equal fingerprints are one node. Two nodes that
-differ in at most ``max_bits`` bits agree in at least ``m - max_bits`` of ``m`` bit blocks, so the nodes are dealt by
-every choice of that many blocks; ``m`` follows the number of nodes, so that classes stay small. Within a class nodes
-are sorted by Gray rank; consecutive ones share long bit patterns, which upper index nodes hold as (mask, value).
-Index nodes are compared from the top; differences on the bits that both have fixed add up on the way down, and a pair
-is left as soon as they pass the limit. Each class returns a spanning forest of its links, never all pairs, and
-connected components of these links give the groups. A class beyond ``tile`` nodes is cut into tiles that meet in
-pairs, one task each, so one hot class is neither gathered nor capped.
+Fingerprints: 64 majority bits of the XXH64 values of word shingles. Equal fingerprints are one node. Nodes are sorted
+by Gray rank; consecutive ones share long bit patterns, which upper index nodes hold as (mask, value). Index nodes are
+compared from the top; differences on the bits that both have fixed add up on the way down, and whole groups are left as
+soon as they pass the limit. Every comparison goes down such a tree; only leaves of ``FAN`` codes are compared code by
+code.
+
+Up to ``GROUP`` nodes are one tree. More are dealt to trees of about that size by ``max_bits + 1`` disjoint blocks of
+bits, of which two nodes within the limit share one at least. Each tree returns a spanning forest of its links, never
+all pairs, and connected components of these links give the groups. A class beyond ``tile`` nodes is cut into tiles
+whose trees meet in pairs, one task each, so one hot class is neither gathered nor capped.
 
 Cases: null and empty texts have fingerprint 0 and link like any other; fewer words than a shingle make one shingle;
 repeated rows share a component; a component whose ids are all null has a null id; an empty table gives no rows;
@@ -28,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terralift.llm.common import map_text, materialize, mix64
-from terralift.llm.components import connected_components
+from terralift.llm.components import connected_components, contracted
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 FAN = 8
-DIRECT = 96
+GROUP = 2048
 
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
@@ -112,9 +114,20 @@ def gray_rank(x: Column) -> Column:
     return x
 
 
-def block_masks(nodes: int, max_bits: int, group: int = 64) -> list[int]:
-    """Bit masks of the block choices, with blocks enough that about ``group`` random nodes share a class."""
-    m = max_bits + 1
+def block_masks(nodes: int, max_bits: int, group: int = GROUP) -> list[int]:
+    """Masks of the classes that nodes are dealt by; about ``group`` random nodes share one, and two nodes that differ in
+    at most ``max_bits`` bits share one of their classes.
+
+    No bits if there are no more nodes than that; else blocks of as many bits as it takes; where the bits don't suffice
+    (classes of eight times the size would not do), every choice of some of ``m`` blocks.
+    """
+    bits, most = math.ceil(math.log2(max(1, nodes / group))), 64 // (max_bits + 1)
+    if not bits:
+        return [0]
+    if nodes / 2**most <= 8 * group:
+        bits = min(bits, most)
+        return [((1 << bits) - 1) << (bits * i) for i in range(max_bits + 1)]
+    m = max_bits + 2
     while nodes / 2 ** (64 * (m - max_bits) / m) > group and m < 2 * max_bits + 4:
         m += 1
     edges = [round(64 * i / m) for i in range(m + 1)]
@@ -170,44 +183,45 @@ def _children(a: np.ndarray, b: np.ndarray, na: int, nb: int, same: bool, *along
     return (ca[ok], cb[ok], *(np.repeat(x, FAN * FAN)[ok] for x in along))
 
 
+def _leaves(codes: np.ndarray) -> np.ndarray:
+    """Codes in rows of ``FAN``; the last row is filled up with its last code."""
+    return np.concatenate([codes, np.full(-len(codes) % FAN, codes[-1])]).reshape(-1, FAN)
+
+
 def link_codes(x: np.ndarray, y: np.ndarray | None, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of ``x`` with itself, or between ``x`` and ``y``; codes are uint64 in Gray order."""
     same = y is None
     other = x if same else y
+    if not len(x) or not len(other):
+        return x[:0], x[:0]
     everything = x if same else np.concatenate([x, y])
     forest, shift = _Forest(len(everything)), 0 if same else len(x)
-    if len(x) * len(other) <= DIRECT * DIRECT:
-        a, b = np.nonzero(np.bitwise_count(x[:, None] ^ other[None, :]) <= max_bits)
-        if same and len(a) == len(x):
-            return x[:0], x[:0]
-        forest.join(a, b + shift)
-    else:
-        tx = _levels(x)
-        ty = tx if same else _levels(other)
-        deep = max(len(tx), len(ty))
-        for t in (tx, ty):
-            while len(t) < deep:
-                t.append(t[-1])
-        # a shorter tree keeps its one root on upper levels, so child numbers stay in step
-        todo = [(deep - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.int64))]
-        while todo:
-            level, a, b, common, far = todo.pop()
-            (ma, va), (mb, vb) = tx[level], ty[level]
-            both = ma[a] & mb[b]
-            far = far + np.bitwise_count((va[a] ^ vb[b]) & both & ~common)
-            near = far <= max_bits
-            a, b, common, far = a[near], b[near], both[near], far[near]
-            if not len(a):
-                continue
-            for at in range(0, len(a), 4096):
-                part = slice(at, at + 4096)
-                if level:
-                    ca, cb, cc, cf = _children(a[part], b[part], len(tx[level - 1][0]), len(ty[level - 1][0]), same, common[part], far[part])
-                    todo.append((level - 1, ca, cb, cc, cf))
-                else:
-                    ca, cb = _children(a[part], b[part], len(x), len(other), same)
-                    hit = np.bitwise_count(x[ca] ^ other[cb]) <= max_bits
-                    forest.join(ca[hit], cb[hit] + shift)
+    tx = _levels(x)
+    ty = tx if same else _levels(other)
+    lx, ly = _leaves(x), _leaves(other)
+    deep = max(len(tx), len(ty))
+    for t in (tx, ty):
+        while len(t) < deep:
+            t.append(t[-1])
+    # a shorter tree keeps its one root on upper levels, so child numbers stay in step
+    todo = [(deep - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.int64))]
+    while todo:
+        level, a, b, common, far = todo.pop()
+        (ma, va), (mb, vb) = tx[level], ty[level]
+        both = ma[a] & mb[b]
+        far = far + np.bitwise_count((va[a] ^ vb[b]) & both & ~common)
+        near = far <= max_bits
+        a, b, common, far = a[near], b[near], both[near], far[near]
+        for at in range(0, len(a), 4096):
+            part = slice(at, at + 4096)
+            if level:
+                ca, cb, cc, cf = _children(a[part], b[part], len(tx[level - 1][0]), len(ty[level - 1][0]), same, common[part], far[part])
+                todo.append((level - 1, ca, cb, cc, cf))
+            else:
+                pair, i, j = np.nonzero(np.bitwise_count(lx[a[part]][:, :, None] ^ ly[b[part]][:, None, :]) <= max_bits)
+                ca, cb = a[part][pair] * FAN + i, b[part][pair] * FAN + j
+                hit = (ca < len(x)) & (cb < len(other))
+                forest.join(ca[hit], cb[hit] + shift)
     moved = np.flatnonzero(forest.root != np.arange(len(everything)))
     return everything[moved], everything[forest.root[moved]]
 
@@ -267,13 +281,13 @@ def hamming_links(nodes: DataFrame, max_bits: int = 4, tile: int = 4096) -> Data
     return dealt.mapInArrow(lambda b: _class_links(b, max_bits), "a long, b long")
 
 
-def sampled_masks(nodes: int, group: int = 4, recall: float = 0.98, similarity: float = 0.8, seed: int = 19) -> list[list[int]]:
+def sampled_masks(nodes: int, group: int = 512, recall: float = 0.98, similarity: float = 0.8, seed: int = 19) -> list[list[int]]:
     """Bit samples (a mask for each word) of tables that a pair of the given similarity shares one of, with the given
     chance even if it differs in two deviations more bits than such pairs do; samples are as long as it takes for about
-    ``group`` random nodes to share a class."""
-    bits = max(8, math.ceil(math.log2(max(nodes, 2) / group)))
+    ``group`` random nodes to share a class, and up to that many nodes are one class."""
+    bits = math.ceil(math.log2(max(1, nodes / group)))
     same = (1 - differing_bits(similarity, 2) / (64 * WIDE)) ** bits
-    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - same))) if bits else 1
     draw = np.random.default_rng(seed)
     out = []
     for _ in range(tables):
@@ -283,36 +297,29 @@ def sampled_masks(nodes: int, group: int = 4, recall: float = 0.98, similarity:
 
 
 WORDS = [f"w{k}" for k in range(WIDE)]
-LINK = ", ".join(f"{side}{k} long" for side in "ab" for k in range(WIDE))
 
 
 def _near_in_tables(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Links (words of both codes) between rows (key, words...) of one key; rows of a key come together."""
+    """Links (names of both, the smaller one as ``b``) between rows (key, name, words...) of one key, which come together."""
     held: np.ndarray | None = None
 
     def links(rows: np.ndarray) -> pa.RecordBatch | None:
-        key, codes = rows[0], rows[1:].view(np.uint64)
-        name = codes[0]
-        for w in codes[1:]:
-            name = mix64(name) ^ w
-        _, first, place = np.unique(name, return_index=True, return_inverse=True)
-        forest, step = _Forest(len(first)), 0
-        alive = np.arange(len(key))
-        while len(alive):
-            step += 1
-            alive = alive[alive + step < len(key)]
-            alive = alive[key[alive] == key[alive + step]]
-            apart = alive[forest.root[place[alive]] != forest.root[place[alive + step]]]
-            for at in range(0, len(apart), 1 << 16):
-                a = apart[at : at + (1 << 16)]
-                far = np.bitwise_count(codes[:, a] ^ codes[:, a + step]).sum(0, dtype=np.int64)
-                hit = a[far <= max_bits]
-                forest.join(place[hit], place[hit + step])
-        moved = np.flatnonzero(forest.root != np.arange(len(first)))
+        key, codes = rows[0], rows[2:].view(np.uint64)
+        names, place = np.unique(rows[1], return_inverse=True)
+        forest = _Forest(len(names))
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            step = max(1, (1 << 18) // (z - a))
+            for at in range(a, z - 1, step):
+                to = min(z, at + step)
+                far = sum(np.bitwise_count(w[at:to, None] ^ w[None, at:z]).astype(np.int16) for w in codes)
+                i, j = np.nonzero(far <= max_bits)
+                up = i < j
+                forest.join(place[at + i[up]], place[at + j[up]])
+        moved = np.flatnonzero(forest.root != np.arange(len(names)))
         if not len(moved):
             return None
-        ends = [rows[1:, first[at]] for at in (moved, forest.root[moved])]
-        return pa.RecordBatch.from_arrays([pa.array(w) for e in ends for w in e], [c.split()[0] for c in LINK.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[forest.root[moved]])], ["a", "b"])
 
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
@@ -329,30 +336,32 @@ def _near_in_tables(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterato
 
 
 def similar_links(nodes: DataFrame, similarity: float = 0.8, tile: int = 4096, most_known: int = 10_000) -> DataFrame:
-    """``a0 .. a3, b0 .. b3``: links that keep all wide fingerprints (``w0 .. w3 long``, all different) connected that
-    meet in tables of sampled bits and differ in no more bits than sets of this similarity do. They only propose pairs:
-    ``verified_links`` decides.
+    """``a, b``: links that keep all wide fingerprints (``w0 .. w3 long``, all different; named by their hash) connected
+    that meet in tables of sampled bits and differ in no more bits than sets of this similarity do. They only propose
+    pairs: ``verified_links`` decides.
 
     The rows of all tables are shuffled once. Classes beyond ``tile`` rows are found by a count of keys alone and cut
     into tiles that meet in pairs; their keys are broadcast if there are at most ``most_known``, else joined by merging.
     """
     tables = sampled_masks(nodes.count(), similarity=similarity)
     keys = [F.xxhash64(F.lit(n), *[F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(WORDS, t, strict=True)]) for n, t in enumerate(tables)]
-    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), *WORDS)
+    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), F.xxhash64(*WORDS).alias("name"), *WORDS)
     large = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile))
     known = large.count()
     if known:
         tiled = keyed.join(F.broadcast(large) if known <= most_known else large.hint("merge"), "key", "left").withColumn("g", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
         tiled = tiled.withColumn("t", F.pmod(F.xxhash64(*WORDS), F.col("g")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        keyed = tiled.select(F.when(F.col("g") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("t", "u"), F.greatest("t", "u"))).alias("key"), *WORDS)
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _near_in_tables(b, differing_bits(similarity)), LINK)
+        keyed = tiled.select(F.when(F.col("g") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("t", "u"), F.greatest("t", "u"))).alias("key"), "name", *WORDS)
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _near_in_tables(b, differing_bits(similarity)), "a long, b long")
 
 
 def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of texts whose sets are similar; rows (root, i, j, t, node, words..., set) come sorted by root, i and j."""
+    """Links of texts whose sets are similar, each to the smallest node that it is tied to in its tiles; rows (root, i, j,
+    t, node, words..., set) come sorted by root, i and j."""
     most, held, held_key = differing_bits(similarity), [], None
 
     def links(rows: pa.Table) -> pa.RecordBatch | None:
+        rows = rows.take(pa.array(np.argsort(rows.column(4).to_numpy(), kind="stable")))  # so a least place is a least node
         columns = [rows.column(k).to_numpy().astype(np.int64) for k in range(WIDE + 5)]
         i, j, t, node = columns[1][0], columns[2][0], columns[3], columns[4]
         codes = np.stack(columns[5:]).view(np.uint64)
@@ -362,7 +371,6 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
         ends = np.cumsum(sizes)
         own = [ids[e - n : e] for e, n in zip(ends, sizes, strict=True)]
         mine, forest = np.zeros(len(kinds), bool), _Forest(len(node))
-        out: list[tuple[int, int]] = []
         for x in np.flatnonzero(t == i):
             y = np.arange(x + 1, len(node)) if i == j else np.flatnonzero(t == j)
             y = y[(forest.root[y] != forest.root[x]) & (np.minimum(sizes[y], sizes[x]) >= similarity * np.maximum(sizes[y], sizes[x]) - 1e-6)]
@@ -374,12 +382,11 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
             both = np.array([np.count_nonzero(mine[own[k]]) for k in y])
             mine[own[x]] = False
             hit = y[both / (sizes[x] + sizes[y] - both) >= similarity]
-            out += [(x, k) for k in hit]
             forest.join(np.full(len(hit), x), hit)
-        if not out:
+        moved = np.flatnonzero(forest.root != np.arange(len(node)))
+        if not len(moved):
             return None
-        a, b = np.array(out).T
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[forest.root[moved]])], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -405,9 +412,8 @@ def verified_links(docs: DataFrame, same: DataFrame, near: DataFrame, similarity
     are compared by their sets, unless links found before connect them. A group beyond ``tile`` nodes or ``tile_bytes``
     of sets is cut into tiles that meet in pairs, one task each.
     """
-    name = lambda side: F.xxhash64(*[f"{side}{k}" for k in range(WIDE)])
-    groups = connected_components(near.select(name("a").alias("a"), name("b").alias("b"))).withColumnRenamed("node", "id")
-    members = materialize(same.withColumn("id", name("w")).join(groups, "id"))
+    groups = connected_components(contracted(near)).withColumnRenamed("node", "id")
+    members = materialize(same.withColumn("id", F.xxhash64(*WORDS)).join(groups, "id"))
     asked = materialize(members.select("h").distinct())
     texts = docs.select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), "text").join(asked, "h")
     sets = map_text(texts, lambda t: {"set": [shingle_set(x).tobytes() for x in t]}, [T.StructField("set", T.BinaryType())], keep=["h"])
@@ -437,7 +443,7 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", keep: list[str] | No
         same = materialize(marked.groupBy(*WORDS).agg(F.min("fp").alias("node"), F.min("__h").alias("h")))
         equal = marked.select(F.col("fp").alias("a"), *WORDS).distinct().join(same, WORDS).select("a", F.col("node").alias("b")).where("a <> b")
         near = materialize(similar_links(same.select(*WORDS), similarity))
-        links = links.union(equal).union(verified_links(docs, same, near, similarity))
+        links = links.union(equal).union(contracted(verified_links(docs, same, near, similarity)))
     found = connected_components(links)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -461,8 +467,3 @@ def one_of_each_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4, simi
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def expected_class(nodes: int, masks: list[int]) -> float:
-    """Random nodes that share a class, for tuning."""
-    return nodes / math.pow(2, bin(masks[0]).count("1"))

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from terralift.llm import op8_simhash
@@ -92,6 +93,34 @@ def test_link_codes_on_large_classes():
                     assert find(p) == find(q)
 
 
+@pytest.mark.parametrize("nodes", [10, 5_000, 10**6, 10**8, 10**10])
+def test_near_codes_share_a_class(nodes):
+    masks = op8_simhash.block_masks(nodes, 4)
+    draw = random.Random(nodes)
+    for _ in range(500):
+        a = draw.getrandbits(64)
+        b = a
+        for bit in draw.sample(range(64), 4):
+            b ^= 1 << bit
+        assert any(a & m == b & m for m in masks)
+    assert nodes > op8_simhash.GROUP or masks == [0]
+
+
+def test_all_comparisons_go_down_the_tree(monkeypatch):
+    compared = []
+    nonzero = np.nonzero
+    monkeypatch.setattr(op8_simhash.np, "nonzero", lambda x: (compared.append(x.size), nonzero(x))[1])
+    codes = np.array(sorted(random_codes(6, 1500, 1), key=lambda c: gray(c)), np.uint64)
+    op8_simhash.link_codes(codes, None, 4)
+    assert 0 < sum(compared) < 0.45 * len(codes) ** 2  # groups are left before their codes are compared
+
+
+def gray(c: int) -> int:
+    for s in (1, 2, 4, 8, 16, 32):
+        c ^= c >> s
+    return c
+
+
 def test_groups(spark):
     base = texts(4, 30)
     near = [t + " tail" for t in base[:10] if t]
