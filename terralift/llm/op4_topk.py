@@ -7,7 +7,8 @@ broadcast and no task holds more than one tile of each side. Lists of ``k`` are
 Cases: null vectors and vectors that hold null, NaN or infinite components take no part, as queries or candidates;
 vectors of another length than the query's are no candidates for it; rows that share the query's ``vec_id`` count as
 its own row; repeated rows are candidates each; a query with fewer than ``k`` candidates returns all; an empty table
-returns no rows. Columns besides the two named are ignored. Scores beyond 64 bits stop at the limits of a long.
+returns no rows. Columns besides the two named are ignored. Quantised components and scores beyond 64 bits stop at the
+limits of a long; only the rows that hold such components are multiplied the slow way.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = "tile long, dim int, n int, ids binary, rows binary, peak double"
+TILE = "tile long, dim int, n int, ids binary, rows binary"
 
 
 def quantised(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """``id long, v array<long>``: the rows that take part."""
     x = F.col(f"`{vector}`").cast("array<double>")
-    finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(2.0**62 / scale)))
+    finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     return df.where(F.col(f"`{vec_id}`").isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False))).select(
         F.col(f"`{vec_id}`").cast("long").alias("id"), F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v")
     )
@@ -39,9 +40,8 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         parts = held.pop(key)
         ids, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         order = np.argsort(ids, kind="stable")
-        peak = float(np.abs(rows.astype(np.float64)).max()) if rows.size else 0.0
-        values = [[key[0]], [key[1]], [len(ids)], [ids[order].tobytes()], [np.ascontiguousarray(rows[order]).tobytes()], [peak]]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.float64()), strict=True)], ["tile", "dim", "n", "ids", "rows", "peak"])
+        values = [[key[0]], [key[1]], [len(ids)], [ids[order].tobytes()], [np.ascontiguousarray(rows[order]).tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["tile", "dim", "n", "ids", "rows"])
 
     for batch in batches:
         tiles, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -89,13 +89,24 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Itera
         yield q, places[np.lexsort((places, -row[places]))][:take]
 
 
-def _product(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all rows, exact up to the limits of a long."""
+    dim = max(1, a.shape[1])
+    peaks = [np.abs(x.astype(np.float64)).max(1, initial=0) for x in (a, b)]
+    bound = peaks[0].max() * peaks[1].max() * dim
     if bound < 2.0**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     if bound < 2.0**62:
         return a @ b.T
-    wide = a.astype(object) @ b.astype(object).T
-    return np.clip(wide, -(2**63) + 1, 2**63 - 1).astype(np.int64)
+    out = a @ b.T  # wraps where a row is large; those rows are done again
+    large = [p >= (2.0**62 / dim) ** 0.5 for p in peaks]
+    top = 2**63 - 1
+    whole = lambda x, y: np.clip(x.astype(object) @ y.astype(object).T, -top, top).astype(np.int64)
+    if large[0].any():
+        out[large[0]] = whole(a[large[0]], b)
+    if large[1].any():
+        out[:, large[1]] = whole(a, b[large[1]])
+    return out
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -105,10 +116,9 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             dim = row["dim"]
             a = np.frombuffer(row["q_rows"], np.int64).reshape(len(qi), dim)
             b = np.frombuffer(row["rows"], np.int64).reshape(len(ci), dim)
-            bound = row["peak"] * row["q_peak"] * max(dim, 1)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for at in range(0, len(qi), 256):
-                scores = _product(a[at : at + 256], b, bound)
+                scores = _product(a[at : at + 256], b)
                 for q, places in _best(scores, ci, qi[at : at + 256], k):
                     out.append((np.full(len(places), qi[at + q]), ci[places], scores[q][places]))
             if out:
@@ -124,7 +134,7 @@ def exact_topk(
     q, c = quantised(queries, vec_id, vector).dropDuplicates(["id", "v"]), quantised(candidates, vec_id, vector)
     counts = [x.count() for x in (q, c)]
     nq, nc = max(1, -(-counts[0] // query_tile)), max(1, -(-counts[1] // data_tile))
-    tq = tiles(q, query_tile, nq).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("tile"), F.col("dim"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("peak").alias("q_peak"))
+    tq = tiles(q, query_tile, nq).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("tile"), F.col("dim"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
     pairs = tiles(c, data_tile, nc).join(tq, ["tile", "dim"])
     found = pairs.mapInArrow(lambda b: _search(b, k), "query_id long, vec_id long, score long, tile long")
     width = nc
