@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -189,42 +189,58 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxic
     kept = counted.where(F.col("c1") >= LEAST_DOCS).where(F.col("c1") * n0 > F.col("c0") * (1.5 * n1)).collect()
     words = lexicon({r["unit"]: (r["c1"], r["c0"]) for r in kept}, n1, n0)
     # score of other tokens: the odds that a token is none of the lexicon's
-    stats = _stats(sample, ToxicityModel(words, -1e-9))
-    s1, s0 = (sum(r["n"] for r in stats if r["label"] == y) + 1 for y in (1, 0))
-    m1, m0 = (sum(len(r["marks"]) for r in stats if r["label"] == y) for y in (1, 0))
+    tokens, marks = _token_counts(sample, ToxicityModel(words, -1e-9))
+    s1, s0 = tokens.get(1, 0) + 1, tokens.get(0, 0) + 1
+    m1, m0 = (sum(n for _, n in marks.get(y, [])) for y in (1, 0))
     other = min(-0.005, math.log(max(1e-3, 1 - m1 / s1) / (1 - m0 / (s0 + m0))))
-    clean_marks = [s for r in stats if r["label"] == 0 for s in r["marks"]]
-    lam = _lambda(np.array(clean_marks), other, s0)
+    values, counts = (np.array([x[k] for x in marks.get(0, [])], float) for k in (0, 1))
+    lam = _lambda(values, counts, other, s0)
     model = ToxicityModel(words, other, lam)
-    stats = _stats(sample, model)
-    clean = [lam * max([s for s in r["best"]], default=0.0) - math.log(max(1, r["n"])) for r in stats if r["label"] == 0]
+    best = _per_document(sample, model, lambda n, found: max(found, default=0.0))
+    clean = [lam * r["value"] - math.log(max(1, r["n"])) for r in best if r["label"] == 0]
     log_k = float(np.mean(clean)) - 0.5772
     model = ToxicityModel(words, other, lam, log_k)
-    x = np.array([sum(max(0.0, lam * s - log_k - math.log(max(1, r["n"]))) for s in r["best"]) for r in stats])
-    y = np.array([r["label"] for r in stats])
-    n = np.array([r["n"] for r in stats], float)
+    over = _per_document(sample, model, lambda n, found: sum(max(0.0, lam * s - log_k - math.log(max(1, n))) for s in found))
+    x, y, n = (np.array([r[k] for r in over], float) for k in ("value", "label", "n"))
     return ToxicityModel(words, other, lam, log_k, *_logistic(np.log1p(x), np.log1p(n), y, class_share(labels, "toxic")))
 
 
-def _stats(sample: DataFrame, model: ToxicityModel) -> list:
-    """Of each document of the bounded sample: tokens, scores of lexicon tokens, scores of segments."""
-    fields = [T.StructField("n", T.LongType()), T.StructField("marks", T.ArrayType(T.DoubleType())), T.StructField("best", T.ArrayType(T.DoubleType()))]
+def _token_counts(sample: DataFrame, model: ToxicityModel) -> tuple[dict[int, int], dict[int, list[tuple[float, int]]]]:
+    """By class: tokens, and how often tokens of the lexicon have each score (no more scores than the lexicon has)."""
+    fields = [T.StructField("n", T.LongType()), T.StructField("marks", T.ArrayType(T.DoubleType()))]
+
+    def run(texts: list[str]) -> dict[str, object]:
+        scan = Scanner(model)
+        tokens = [TOKEN.findall(t) for t in texts]
+        return {"n": [len(t) for t in tokens], "marks": [[s for w in t if (s := scan.word(w)) != model.other] for t in tokens]}
+
+    marked = map_text(sample, run, fields, keep=["label"])
+    totals = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    found: dict[int, list[tuple[float, int]]] = {}
+    for r in marked.select("label", F.explode("marks").alias("score")).groupBy("label", "score").count().orderBy("label", "score").collect():
+        found.setdefault(r["label"], []).append((r["score"], r["count"]))
+    return totals, found
+
+
+def _per_document(sample: DataFrame, model: ToxicityModel, value: Callable[[int, list[float]], float]) -> list:
+    """``label, n, value``: three numbers of each document of the bounded sample, from its tokens and segment scores."""
+    fields = [T.StructField("n", T.LongType()), T.StructField("value", T.DoubleType())]
 
     def run(texts: list[str]) -> dict[str, object]:
         scan = Scanner(model)
         found = [scan.segments(t) for t in texts]
-        marks = [[s for w in TOKEN.findall(t) if (s := scan.word(w)) != model.other] for t in texts]
-        return {"n": [n for n, _ in found], "marks": marks, "best": [[s for _, _, s in f] for _, f in found]}
+        return {"n": [n for n, _ in found], "value": [float(value(n, [s for _, _, s in f])) for n, f in found]}
 
     return map_text(sample, run, fields, keep=["label"]).collect()
 
 
-def _lambda(marks: np.ndarray, other: float, tokens: int) -> float:
-    """The positive root of E[exp(lam * x)] = 1 over the scores of clean tokens."""
-    rest = max(1, tokens - len(marks))
+def _lambda(marks: np.ndarray, counts: np.ndarray, other: float, tokens: int) -> float:
+    """The positive root of E[exp(lam * x)] = 1 over the scores of clean tokens, which are given with their counts."""
+    number = counts.sum()
+    rest = max(1, tokens - number)
 
     def over(lam: float) -> float:
-        return (np.exp(lam * marks).sum() + rest * math.exp(lam * other)) / (rest + len(marks)) - 1
+        return ((counts * np.exp(lam * marks)).sum() + rest * math.exp(lam * other)) / (rest + number) - 1
 
     low, high = 1e-3, 5.0
     if not len(marks) or over(high) < 0:
