@@ -28,6 +28,7 @@ from terralift.llm.tagger import Tagger, symbols
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 1200
+SAMPLE_PIECES = 3600
 TRAIN_STEPS = 260
 TRAIN_WINDOW = 64
 WINDOW, STRIDE, REACH = 128, 64, 40
@@ -277,19 +278,22 @@ def ordered(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = TRAIN_STEPS, text: str = "text") -> Tagger:
-    """Train on windows of at most ``sample_docs`` documents that hold a digit or at-sign, in hash order."""
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = TRAIN_STEPS, text: str = "text", sample_pieces: int = SAMPLE_PIECES) -> Tagger:
+    """Train on at most ``sample_pieces`` pieces of whole stretches around digits and at-signs, of at most
+    ``sample_docs`` documents that hold any; both are chosen in hash order."""
     known = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     known = known.select("text", F.xxhash64("text", F.lit(5)).alias("h"))
     # only hashes are sorted; the texts up to the last chosen hash are then read where they are
     last = known.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
     known = known.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]) if last is not None else known.limit(0)
+    size = 4 * TRAIN_WINDOW
 
     def cut(texts: list[str]) -> dict[str, object]:
-        return {"parts": [[t[a:b] for a, b in stretches(t)[:3]] for t in texts]}
+        return {"parts": [[t[i : min(b, i + size)] for a, b in stretches(t) for i in range(a, b, size)] for t in texts]}
 
-    rows = map_text(known, cut, [T.StructField("parts", T.ArrayType(T.StringType()))]).collect()
-    contexts = sorted(p[: 4 * TRAIN_WINDOW] for r in rows for p in r["parts"])
+    pieces = map_text(known, cut, [T.StructField("parts", T.ArrayType(T.StringType()))]).select(F.explode("parts").alias("piece"))
+    chosen = pieces.orderBy(F.xxhash64("piece", F.lit(6)), "piece").limit(sample_pieces).collect()
+    contexts = sorted(r["piece"] for r in chosen)
     x, y = training_windows(contexts)
     model = Tagger.new(2 * len(KINDS) + 1)
     model.train(x, y, steps)
