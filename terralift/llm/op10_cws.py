@@ -106,38 +106,47 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _range_number(x: Column, bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` are at most ``x``, by a search in two levels."""
+def _range_number(x: Column, bounds: list[int], strictly: bool = False) -> Column:
+    """How many of the sorted ``bounds`` are at most (``strictly``: below) ``x``, by a search in two levels."""
     if not bounds:
         return F.lit(0)
     wide = max(1, int(len(bounds) ** 0.5))
     rows = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
     array = lambda v: F.array(*[F.lit(e).cast("long") for e in v])
-    row = F.size(F.filter(array([v[0] for v in rows]), lambda e: e <= x))  # rows whose first bound is at most x
-    within = F.size(F.filter(F.element_at(F.array(*[array(v) for v in rows]), F.greatest(row, F.lit(1))), lambda e: e <= x))
+    reached = (lambda e: e < x) if strictly else (lambda e: e <= x)
+    row = F.size(F.filter(array([v[0] for v in rows]), reached))  # rows whose first bound is reached
+    within = F.size(F.filter(F.element_at(F.array(*[array(v) for v in rows]), F.greatest(row, F.lit(1))), reached))
     return F.when(row == 0, 0).otherwise((row - 1) * wide + within)
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """``part, doc_id, ahead, text`` dealt by ranges of ids and sorted; the row after each is its next document.
 
-    Where a range ends, the first row of the next range that has any (after the last, of the first) stands as a row
-    with ``ahead`` true. Only range bounds and first rows are gathered, one of each for each range.
+    Rows are in order of id (none last), then of a hash of the text. An id that fills several ranges, or rows without
+    one, are dealt over as many ranges by that hash. Where a range ends, the first row of the next range that has any
+    (after the last, of the first) stands as a row with ``ahead`` true. Only range bounds and first rows are gathered,
+    one of each for each range.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = (rows.agg(F.percentile_approx("doc_id", shares, 10000)).first()[0] or []) if shares else []
-    part = F.when(F.col("doc_id").isNull(), parts).otherwise(_range_number(F.col("doc_id"), sorted(set(bounds))))
-    rows = rows.select(part.cast("int").alias("part"), "doc_id", F.col("doc_id").isNull().alias("last"), F.xxhash64("text").alias("tie"), "text")
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    known = rows.agg(F.percentile_approx("doc_id", shares, 10000).alias("bounds"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
+    bounds = sorted(known["bounds"] or []) if parts > 1 else []
+    last = max(1, -(-parts * (known["n"] - known["ids"]) // max(1, known["n"])))  # ranges of rows without an id
+    tie = F.xxhash64("text")
+    share = (tie.cast("double") + 2.0**63) / 2.0**64  # rises with the hash, from 0 to 1
+    spread = lambda n: F.least(n - 1, F.floor(share * n).cast("int"))
+    below, reached = _range_number(F.col("doc_id"), bounds, True), _range_number(F.col("doc_id"), bounds)
+    part = F.when(F.col("doc_id").isNull(), parts + spread(F.lit(last))).otherwise(below + spread(reached - below + 1))
+    rows = rows.select(part.cast("int").alias("part"), "doc_id", F.col("doc_id").isNull().alias("last"), tie.alias("tie"), "text")
     heads = rows.groupBy("part").agg(F.min_by("text", F.struct("last", "doc_id", "tie")).alias("text"))
     heads = heads.select("part", "text")
     filled = rows.select("part").distinct()  # at most one row a range
     before = filled.select("part", F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy())).alias("to"))
     ahead = heads.join(before, "part").select(F.col("to").alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("last"), F.lit(0).cast("long").alias("tie"), "text", F.lit(True).alias("ahead"))
     # each range is one task's
-    dealt = rows.withColumn("ahead", F.lit(False)).unionByName(ahead).repartitionById(parts + 1, F.col("part"))
+    dealt = rows.withColumn("ahead", F.lit(False)).unionByName(ahead).repartitionById(parts + last, F.col("part"))
     return dealt.sortWithinPartitions("part", "ahead", "last", "doc_id", "tie").select("part", "doc_id", "ahead", "text")
 
 
