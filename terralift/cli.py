@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 from datetime import date
 from pathlib import Path
 from typing import Any
@@ -16,8 +17,9 @@ from terralift.operators.analysis import analyze, methodology_status
 from terralift.operators.candidates import Generator
 from terralift.operators.panel import GeoPanel
 from terralift.operators.registry_store import ExperimentRegistry
-from terralift.operators.specs import CompletedSpec, RoadmapSpec
-from terralift.sources.synthetic import generate_panel
+from terralift.operators.report_payloads import compact_summary, load_analysis
+from terralift.operators.specs import MODELS, CompletedSpec, RoadmapSpec, read_config
+from terralift.sources.synthetic import Lift, apply_lift, generate_panel
 
 
 def session() -> SparkSession:
@@ -102,14 +104,52 @@ def monitor(args: argparse.Namespace) -> int:
 
 
 def analysis(args: argparse.Namespace) -> int:
-    spec = CompletedSpec.from_file(args.config)
-    found = analyze(panel_of(args), spec, args.estimators)
+    spec = completed(args.config)
+    found = analyze(lifted(panel_of(args), args.config), spec, args.estimators)
     write(args.out, {**found.payload, "adjusted": found.adjusted, "monitoring": found.monitoring, "calibration": found.calibration, "status": methodology_status(found)})
     if args.report:
         reports.render_analysis(found.payload, args.report)
     return 0
 
 
+def lifted(panel: GeoPanel, config: str) -> GeoPanel:
+    """The panel with the lift that a completed test's file names under ``synthetic_lift``, if any."""
+    raw = read_config(config)
+    lift = raw.get("synthetic_lift") if isinstance(raw, dict) else None
+    if not lift:
+        return panel
+    made = Lift(tuple(lift.get("markets") or raw["treatment"]), str(lift.get("start", raw["start"])), str(lift.get("end", raw["end"])), float(lift["lift"]), lift["metric"], lift.get("mode", "relative"))
+    return replace(panel, df=apply_lift(panel.df, made, panel.geo, panel.time))
+
+
+def completed(path: str) -> CompletedSpec:
+    raw = read_config(path)
+    return CompletedSpec.model_validate({k: v for k, v in raw.items() if k != "synthetic_lift"})
+
+
+def analyze_portfolio(args: argparse.Namespace) -> int:
+    """Every completed test over one panel, and a table of their decisions."""
+    table, folder = [], Path(args.artifacts) if args.artifacts else None
+    for path in args.configs:
+        spec = completed(path)
+        found = analyze(lifted(panel_of(args), path), spec, args.estimators)
+        table += [{"test_id": spec.experiment_id, **{k: g[k] for k in ("metric", "estimator", "estimate", "p_value", "status")}} for g in compact_summary(spec.experiment_id, found.results, spec.primary_estimator, spec.framework, spec.margin, spec.alpha)["groups"]]
+        if folder:
+            write(str(folder / f"{spec.experiment_id}.json"), found.payload)
+    write(args.out, {"decisions": table})
+    return 0
+
+
+def report_analysis(args: argparse.Namespace) -> int:
+    reports.render_analysis(load_analysis(args.results), args.out)
+    return 0
+
+
+def schema(args: argparse.Namespace) -> int:
+    write(args.out, MODELS[args.model].model_json_schema())
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="terralift", description=__doc__)
     sub = top.add_subparsers(required=True)
@@ -137,6 +177,9 @@ def parser() -> argparse.ArgumentParser:
     command("solve", solve, config, most, (("--registry",), {}), (("--report",), {}), (("--manifest",), {}), (("--seconds",), {"type": float, "default": 30.0}), panel=True)
     command("report-plan", report_plan, (("plan",), {}), (("out",), {}), (("--title",), {"default": "Plan"}))
     command("monitor", monitor, (("plan",), {}), (("--previous",), {}), (("--as-of",), {"required": True}), (("--target-power",), {"type": float, "default": 0.8}))
+    command("analyze-portfolio", analyze_portfolio, (("configs",), {"nargs": "+"}), (("--artifacts",), {}), (("--estimators",), {"nargs": "*"}), panel=True)
+    command("report-analysis", report_analysis, (("results",), {}), (("out",), {}))
+    command("schema", schema, (("model",), {"choices": sorted(MODELS)}))
     command("analyze", analysis, config, (("--report",), {}), (("--estimators",), {"nargs": "*"}), panel=True)
     return top
 

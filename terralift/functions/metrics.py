@@ -158,6 +158,29 @@ def metric_from_dict(payload: dict[str, Any]) -> Metric:
     return METRIC_KINDS[kind](**rest)
 
 
+@dataclass(frozen=True)
+class MetricInfo:
+    """A metric's name, kind and columns, whatever it was given as."""
+
+    name: str
+    kind: str
+    column: str | None = None
+    numerator: str | None = None
+    denominator: str | None = None
+    direction: str = "increase"
+
+
+def metric_info(metric: Metric | dict[str, Any] | str) -> MetricInfo:
+    """From a metric, its configuration or a column's name; with a numerator and a denominator it is a ratio."""
+    if isinstance(metric, str):
+        return MetricInfo(metric, "count", metric)
+    if isinstance(metric, dict):
+        metric = metric_from_dict({"name": metric.get("name") or metric.get("column"), **metric})
+    if isinstance(metric, RatioMetric):
+        return MetricInfo(metric.name, "ratio", None, metric.numerator, metric.denominator, metric.direction)
+    return MetricInfo(metric.name, KIND_OF.get(type(metric), "custom"), metric.columns[0] if len(metric.columns) == 1 else None, direction=metric.direction)
+
+
 class MetricCatalog:
     """Named metrics in order."""
 
@@ -174,6 +197,17 @@ class MetricCatalog:
     def required_columns(self, names: Iterable[str] | None = None) -> list[str]:
         return list(dict.fromkeys(c for n in (names or self.metrics) for c in self.metrics[n].columns))
 
+    def select(self, names: Iterable[str]) -> MetricCatalog:
+        """Some of the metrics, in the given order."""
+        names = list(names)
+        if unknown := [n for n in names if n not in self.metrics]:
+            raise ValidationError(f"unknown metrics {unknown}.", f"Use some of {list(self.metrics)}.")
+        return MetricCatalog(self.metrics[n] for n in names)
+
+    def fetch(self, source: Any, names: Iterable[str] | None = None, **limits: Any) -> Any:
+        """From a source, only the columns that the metrics need."""
+        return source.fetch(metrics=self.required_columns(names), **limits)
+
     @classmethod
     def from_configs(cls, configs: dict[str, dict[str, Any]]) -> MetricCatalog:
         return cls(metric_from_dict({"name": n, **c}) for n, c in configs.items())

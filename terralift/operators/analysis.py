@@ -15,6 +15,7 @@ from terralift.functions.metrics import Metric, RatioMetric
 from terralift.operators import inference, power
 from terralift.operators.design import Design, geo_periods, prepared
 from terralift.operators.estimators import Estimate, fit_all
+from terralift.operators.markets import ListedPolicy, Policy
 from terralift.operators.panel import GeoPanel
 from terralift.operators.reports import analysis_payload
 from terralift.operators.specs import CompletedSpec
@@ -38,6 +39,10 @@ class Estimand:
     def compatible(self, other: Estimand) -> bool:
         return self == other
 
+    def lift_comparable(self, other: Estimand) -> bool:
+        """Lifts may be set side by side if they are of the same markets and dates; scales don't matter."""
+        return (self.population, self.time) == (other.population, other.time)
+
 
 ESTIMANDS = {
     "did": Estimand(), "ratio_delta": Estimand(), "block_bootstrap": Estimand(), "cuped": Estimand(aggregation="total"),
@@ -92,11 +97,20 @@ def configured_inference(method: str, effects: list[tuple[str, int, float]], est
     return inference.Inference("native", estimate.estimate, estimate.interval, estimate.p_value, estimate.standard_error, confidence)
 
 
+def compatible_inference(estimate: Estimate, found: inference.Inference) -> bool:
+    """Whether an interval is of the estimate's own point."""
+    return found.interval is not None and math.isclose(found.estimate, estimate.estimate, rel_tol=1e-7, abs_tol=1e-9)
+
+
+def inference_rank(found: inference.Inference) -> int:
+    return RANK.get(found.method, 0)
+
+
 def promote(estimate: Estimate, found: list[inference.Inference], preferred: str | None = None) -> Estimate:
     """Take the interval and p of the best method whose point is the estimate's; else the native ones stay, with a warning."""
-    fitting = [i for i in found if math.isclose(i.estimate, estimate.estimate, rel_tol=1e-7, abs_tol=1e-9) and i.interval is not None]
+    fitting = [i for i in found if compatible_inference(estimate, i)]
     if fitting:
-        best = max(fitting, key=lambda i: (i.method == preferred, RANK.get(i.method, 0)))
+        best = max(fitting, key=lambda i: (i.method == preferred, inference_rank(i)))
         estimate.interval, estimate.p_value = best.interval, best.p_value
         estimate.diagnostics["primary_inference"] = best.method
     elif found:
@@ -110,6 +124,23 @@ def null_value(framework: str, margin: float, baseline: float | None = None, rel
     return {"non_inferiority": (-m, "greater"), "inferiority": (m, "less"), "superiority": (0.0, "greater")}.get(framework, (0.0, "two-sided"))
 
 
+def alternative_of(framework: str) -> str:
+    return null_value(framework, 0.0)[1]
+
+
+def assignment_policy(kind: str, design: Design, treatment_count: int | None = None, allowed: list[list[str]] | None = None) -> Policy:
+    """The policy that a completed test was drawn by, over the markets of its design: a fixed number of treated markets,
+    or one of listed assignments, of which those outside the design are left out."""
+    if kind == "fixed_treatment_count":
+        return Policy(tuple(sorted(design.geos)), treatment_count or len(design.treatment))
+    if kind == "candidate_constrained":
+        kept = [tuple(sorted(a)) for a in allowed or () if {*a} <= {*design.geos}]
+        if not kept:
+            raise ValidationError("no listed assignment lies within the design.", "List markets of the design.")
+        return ListedPolicy(tuple(sorted(design.geos)), len(kept[0]), "listed", listed=tuple(dict.fromkeys(kept)))
+    raise ValidationError(f"a completed test can't be of policy {kind!r}.", "Use fixed_treatment_count or candidate_constrained.")
+
+
 def daily_gaps(panel: GeoPanel, design: Design, metric: Metric) -> DataFrame:
     """``time, gap``: the arms' daily gap after the start, less its mean before."""
     df = prepared(panel, design, metric)
@@ -118,21 +149,31 @@ def daily_gaps(panel: GeoPanel, design: Design, metric: Metric) -> DataFrame:
     return g.where("post = 1").crossJoin(F.broadcast(before)).select("time", (F.col("gap") - F.col("level")).alias("gap"), (F.col("low") - F.col("level")).alias("low"), (F.col("high") - F.col("level")).alias("high"))
 
 
+def monitoring_bounds(seen: tuple[float, float], bounds: tuple[float, float]) -> tuple[tuple[float, float], list[str]]:
+    """Bounds that hold all observations: the given ones, widened with a warning where some left them."""
+    low, high = bounds
+    if seen[0] >= low and seen[1] <= high and low < high:
+        return (low, high), []
+    low = min(low, seen[0])
+    return (low, max(high, seen[1], low + 1e-9)), ["observations left the bounds, which were widened"]
+
+
+def planned_looks(n: int, shares: list[float]) -> list[int]:
+    """Places of the looks among ``n`` dates: shares rounded up, or every date."""
+    return sorted({min(n, max(1, math.ceil(x * n))) for x in shares}) or list(range(1, n + 1))
+
+
 def monitoring(panel: GeoPanel, design: Design, metric: Metric, looks: list[float], bounds: tuple[float, float] | None = None, alpha: float = 0.05) -> dict[str, Any]:
     """Confidence sequence and e-values at the planned looks (shares of the post period), valid however often one looks."""
     gaps = daily_gaps(panel, design, metric)
     r = gaps.agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("a"), F.max("gap").alias("b"), F.max("low").alias("low"), F.max("high").alias("high")).first()
     if not r["n"]:
         raise EstimationError("no post-period dates.")
-    low, high = bounds or (r["low"], r["high"])
-    warnings = []
-    if r["a"] < low or r["b"] > high or not low < high:
-        low, high = min(low, r["a"]), max(high, r["b"], low + 1e-9)
-        warnings.append("observations left the bounds, which were widened")
+    (low, high), warnings = monitoring_bounds((r["a"], r["b"]), bounds or (r["low"], r["high"]))
     rows = gaps.withColumn("k", F.lit(0))
     seq = inference.confidence_sequence(rows, ["k"], "time", "gap", low, high, alpha)
     e = inference.e_values(rows, ["k"], "time", "gap", low, high, bet=1 / max(high - low, 1e-9), two_sided=True).select("look", "e_value", "p_value")
-    at = sorted({min(r["n"], max(1, math.ceil(x * r["n"]))) for x in looks}) or list(range(1, r["n"] + 1))
+    at = planned_looks(r["n"], looks)
     found = seq.join(e, "look").where(F.col("look").isin(at)).orderBy("look").collect()
     return {"looks": [x.asDict() for x in found], "bounds": (low, high), "warnings": warnings}
 
@@ -197,6 +238,26 @@ def analyze(panel: GeoPanel, spec: CompletedSpec, names: list[str] | None = None
     return out
 
 
+def calibration_status_of(checks: dict[str, dict[str, Any]], requested: bool) -> str:
+    """One word for all checks of a test: the worst that ran, not_applicable if none could, not_requested."""
+    if not requested:
+        return "not_requested"
+    found = {c.get("status", "run") for c in checks.values()}
+    return next((s for s in ("fail", "warning", "not_applicable") if s in found and (s != "not_applicable" or found == {s})), "run")
+
+
+def joint_draws(results: list[Estimate]) -> tuple[dict[str, float], np.ndarray, list[str]]:
+    """Observed statistics and null draws (draws x metrics) over their deviations, of the estimates that kept as many
+    draws as the first that kept any; the others' names."""
+    kept = [r for r in results if r.artifacts.get("draws") is not None and np.std(r.artifacts["draws"], ddof=1) > 0]
+    n = len(kept[0].artifacts["draws"]) if kept else 0
+    fit = [r for r in kept if len(r.artifacts["draws"]) == n]
+    columns = [np.asarray(r.artifacts["draws"], float) for r in fit]
+    scaled = [(c - c.mean()) / c.std(ddof=1) for c in columns]
+    seen = {r.metric: r.estimate / float(c.std(ddof=1)) for r, c in zip(fit, columns, strict=True)}
+    return seen, np.column_stack(scaled) if scaled else np.zeros((0, 0)), [r.metric for r in results if r not in fit]
+
+
 def methodology_status(analysis: Analysis) -> dict[str, Any]:
     """What ran and what warned."""
     return {

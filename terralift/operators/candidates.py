@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from terralift.errors import MDEComputationError, ValidationError
 from terralift.functions.metrics import Metric, RatioMetric
 from terralift.functions.stats import two_sided_ncp
+from terralift.operators import power
+from terralift.operators.design import Design
 from terralift.operators.markets import MarketGraph, Policy, matched_pairs, strata_values, supergeos
 from terralift.operators.panel import GeoPanel
 from terralift.operators.portfolio import Candidate
@@ -34,7 +36,7 @@ def starts(spec: TestSpec) -> list[tuple[date, int]]:
         at = spec.earliest_start
         while at + timedelta(days=days - 1) <= spec.latest_end:
             end = at + timedelta(days=days - 1)
-            if not any(b.start <= end and at <= b.end for b in spec.blackouts):
+            if not any(b.overlaps(at, end) for b in spec.blackouts):
                 out.append((at, days))
             at += timedelta(days=spec.step_days)
     return out
@@ -178,3 +180,38 @@ def profile(panel: GeoPanel, treated: list[str], control: list[str], volume: str
     v = panel.df.groupBy(arm, F.col(panel.geo).alias("geo")).agg(F.sum(volume).alias("v")).where("arm is not null")
     rows = v.groupBy("arm").agg(F.count(F.lit(1)).alias("markets"), F.min("v").alias("min"), F.percentile("v", 0.5).alias("median"), F.max("v").alias("max"), F.sum("v").alias("total"), F.slice(F.sort_array(F.collect_list("geo")), 1, 40).alias("first"))
     return {r["arm"]: r.asDict() for r in rows.collect()}
+
+
+def daily_totals(panel: GeoPanel, metric: Metric, geos: list[str]) -> DataFrame:
+    """``day, value``: the metric of each market and day, added up over the markets; a value that is no number stops it."""
+    rows = panel.df.where(F.col(panel.geo).isin(geos)).groupBy(F.to_date(F.col(panel.time)).alias("day"), panel.geo).agg(metric.aggregate().alias("v"))
+    bad = F.raise_error(F.concat(F.lit(f"metric {metric.name} has no value on "), F.col("day").cast("string"))).cast("double")
+    rows = rows.withColumn("v", F.when(F.col("v").isNull() | F.isnan("v"), bad).otherwise(F.col("v")))
+    return rows.groupBy("day").agg(F.sum("v").alias("value"))
+
+
+def passes_rerandomization(balance: list[dict[str, Any]], most_smd: float | None = None, variance_ratios: tuple[float, float] | None = None, most_trend: float | None = None) -> bool:
+    """Whether rows ``feature, smd, variance_ratio`` keep within the limits; trends are the features called so."""
+    for r in balance:
+        if most_smd is not None and abs(r["smd"]) > most_smd:
+            return False
+        if most_trend is not None and r["feature"].endswith("_trend") and abs(r["smd"]) > most_trend:
+            return False
+        if variance_ratios and r.get("variance_ratio") is not None and not variance_ratios[0] <= r["variance_ratio"] <= variance_ratios[1]:
+            return False
+    return True
+
+
+def metric_weights(primary: list[str], weights: dict[str, float], mde: dict[str, float]) -> dict[str, float]:
+    """Weights of a score's effects: the weighted metrics and the primary ones (weight 1), adding up to one."""
+    out = {m: weights.get(m, 1.0) for m in dict.fromkeys([*primary, *weights])}
+    if missing := sorted({*out} - {*mde}):
+        raise MDEComputationError(f"no detectable effect of {missing}.")
+    total = sum(out.values())
+    return {m: w / total for m, w in out.items()} if total else out
+
+
+def replay_mde(panel: GeoPanel, metric: Metric, treated: list[str], control: list[str], start: date, days: int, name: str = "did", lifts: tuple[float, ...] = (0.02, 0.05, 0.1, 0.2), **how: Any) -> float:
+    """Least lift that an estimator finds often enough on past windows of a design's arms."""
+    design = Design.of("replay", treated, control, start, start + timedelta(days=days - 1))
+    return power.replay_power(panel, design, metric, name, days, list(lifts), **how)["mde"]

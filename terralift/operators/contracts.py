@@ -317,14 +317,79 @@ def pair_penalties(candidates: DataFrame, weights: ObjectiveWeights, covariance:
 
 def solve_portfolio(spark: SparkSession, candidates: list[portfolio.Candidate], weights: ObjectiveWeights, evidence: EvidenceStore | None = None, covariance: DataFrame | None = None, **limits: Any) -> dict[str, Any]:
     """Choice of candidates with learning values and pair penalties from plans."""
+    return portfolio.solve(candidates, **optimizer_inputs(spark, candidates, weights, evidence, covariance), **limits)
+
+
+def optimizer_inputs(spark: SparkSession, candidates: list[portfolio.Candidate], weights: ObjectiveWeights, evidence: EvidenceStore | None = None, covariance: DataFrame | None = None) -> dict[str, Any]:
+    """Penalties of pairs and bonuses of candidates, as ``portfolio.solve`` takes them; candidates of a roadmap are few."""
     rows = [(c.candidate_id, c.test_name, c.start, c.end, sorted(c.treatment), sorted(c.control), {k[4:]: v for k, v in c.components.items() if k.startswith("mde:")}) for c in candidates]
     table = spark.createDataFrame(rows, "candidate_id string, test_name string, start_date date, end_date date, treatment_markets array<string>, control_markets array<string>, metric_mde map<string,double>")
     penalties = {tuple(sorted((r["a"], r["b"]))): r["penalty"] for r in pair_penalties(table, weights, covariance).where("penalty > 0").collect()}
-    bonuses = {}
+    bonuses: dict[str, float] = {}
     if evidence is not None and weights.learning_value:
         values = portfolio.learning_values(table, evidence.table(spark), weights.learning_mde_floor)
         bonuses = {r["candidate_id"]: weights.learning_value * r["value"] for r in values.collect() if r["value"] is not None}
-    return portfolio.solve(candidates, penalties=penalties, bonuses=bonuses, **limits)
+    return {"penalties": penalties, "bonuses": bonuses}
+
+
+def score_portfolio(chosen: list[portfolio.Candidate], inputs: dict[str, Any]) -> dict[str, float]:
+    """Score of a set: the candidates' own, what they teach, less the penalties of its pairs."""
+    ids = sorted(c.candidate_id for c in chosen)
+    pairs = sum(inputs["penalties"].get((a, b), 0.0) for i, a in enumerate(ids) for b in ids[i + 1 :])
+    base, learning = sum(c.score for c in chosen), sum(inputs["bonuses"].get(c, 0.0) for c in ids)
+    return {"base": base, "learning": learning, "penalty": pairs, "total": base + learning - pairs}
+
+
+@dataclass(frozen=True)
+class PortfolioSolution:
+    """A chosen set of candidates with what was left out."""
+
+    roadmap: str
+    selected: list[portfolio.Candidate]
+    objective: float = 0.0
+    optimal: bool = True
+    unselected: list[str] = field(default_factory=list)
+    alternatives: dict[str, list[str]] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, roadmap: str, solution: dict[str, Any]) -> PortfolioSolution:
+        return cls(roadmap, solution["selected"], solution["objective"], solution["optimal"], solution["unselected"], solution["alternatives"])
+
+    def components(self) -> dict[str, float]:
+        return portfolio.score_decomposition(self.selected)
+
+    def to_frame(self, spark: SparkSession) -> DataFrame:
+        """Assignment rows of the chosen candidates."""
+        return solution_assignments(spark, {"selected": self.selected}).df
+
+    def items(self, status: str = "planned") -> list[dict[str, Any]]:
+        return portfolio.roadmap_items({"selected": self.selected}, status)
+
+
+@dataclass(frozen=True)
+class PortfolioEstimate:
+    """One test's estimate of one metric with its markets and dates."""
+
+    test_id: str
+    metric: str
+    estimate: float
+    variance: float | None
+    treatment: tuple[str, ...]
+    control: tuple[str, ...]
+    start: date
+    end: date
+    family: str
+    scale: str = "absolute"
+
+    @classmethod
+    def from_result(cls, result: Estimate, design: Any, test_id: str | None = None, scale: str = "absolute") -> PortfolioEstimate:
+        """On the relative scale the lift and its interval stand for the effect."""
+        relative = scale == "relative"
+        if relative and result.relative_lift is None:
+            raise EstimationError(f"{result.estimator} has no lift of {result.metric}.")
+        value, interval = (result.relative_lift, result.relative_interval) if relative else (result.estimate, result.interval)
+        variance = portfolio.resolved_variance(None, None if relative else result.standard_error, interval)
+        return cls(test_id or design.experiment_id, result.metric, value, variance, design.treatment, design.control, design.start, design.end, MethodRegistry().family(result.estimator), scale)
 
 
 def save_solution(solution: dict[str, Any], path: str) -> None:

@@ -58,9 +58,11 @@ def two_by_two(df: DataFrame) -> DataFrame:
     return row.withColumn("did", (F.col("treatment_post") - F.col("treatment_pre")) - (F.col("control_post") - F.col("control_pre")))
 
 
-def did(panel: GeoPanel, design: Design, metric: Metric, covariates: list[str] | None = None) -> Estimate:
+def did(panel: GeoPanel, design: Design, metric: Metric, covariates: list[str] | None = None, select: bool = False, backend: str = "native") -> Estimate:
     """Two-way fixed effects. The plan gives each cell's mean; effects of markets and dates are taken out exactly by
     normal equations, so unbalanced panels are right too; errors are clustered by market."""
+    if backend not in ("native", "auto"):
+        raise OptionalDependencyError(f"backend {backend!r} isn't installed; use native.")
     df = prepared(panel, design, metric, extra=covariates)
     cells = df.groupBy("geo", "time", "treated", "post").agg(F.avg("outcome").alias("y"), *[F.avg(F.col(c).cast("double")).alias(c) for c in covariates or ()])
     rows = cells.orderBy("geo", "time").collect()
@@ -72,15 +74,19 @@ def did(panel: GeoPanel, design: Design, metric: Metric, covariates: list[str] |
     if len({(r["treated"], r["post"]) for r in rows}) < 4:
         raise EstimationError("an arm lacks a period.")
     flat = demeaned(np.column_stack([y, x]), g, t)
+    if select and covariates:
+        before = np.array([not r["post"] for r in rows])
+        kept = linear.forward_select(flat[before, 0], np.ones((int(before.sum()), 1)), {c: flat[before, 2 + i] for i, c in enumerate(covariates)})
+        flat = flat[:, [0, 1, *[2 + i for i, c in enumerate(covariates) if c in kept]]]
     beta, e = linear.ols(flat[:, 1:], flat[:, 0])
     effect = float(beta[0])
     arms = [len({r["geo"] for r in rows if r["treated"] == k}) for k in (0, 1)]
     out = Estimate("did", metric.name, effect)
     if min(arms) >= 2:
-        k = x.shape[1] + len(geos) + len(times) - 1
+        k = flat.shape[1] - 1 + len(geos) + len(times) - 1
         v = linear.clustered(flat[:, 1:], e, g)[0, 0]
         n = len(y)
-        v *= (n - x.shape[1]) / max(1, n - k)  # all fixed effects count as parameters
+        v *= (n - flat.shape[1] + 1) / max(1, n - k)  # all fixed effects count as parameters
         out.standard_error = math.sqrt(max(v, 0.0))
         df_ = len(geos) - 1
         if out.standard_error > 1e-12:
@@ -233,11 +239,8 @@ def cuped(panel: GeoPanel, design: Design, metric: Metric, covariates: list[str]
     y = np.array([r["post"] for r in rows], float)
     if z.sum() < 1 or z.sum() == len(z):
         raise EstimationError("an arm is empty.")
-    features: dict[str, np.ndarray] = {}
-    for c in ["pre", *[f"x_{c}" for c in covariates or ()]]:
-        x = np.array([np.nan if r[c] is None else r[c] for r in rows], float)
-        if np.isfinite(x).all() and x.std() > 1e-12:
-            features[c] = x - x.mean()
+    names = ["pre", *[f"x_{c}" for c in covariates or ()]]
+    features, _ = linear.centred_features({c: np.array([np.nan if r[c] is None else r[c] for r in rows], float) for c in names})
     if select:
         c = z == 0
         chosen = linear.forward_select(y[c], np.ones((int(c.sum()), 1)), {k: v_[c] for k, v_ in features.items()})
@@ -291,13 +294,45 @@ def tbr(panel: GeoPanel, design: Design, metric: Metric) -> Estimate:
     n1 = len(post_x)
     variance = s2 * (n1**2 / len(pre_x) + (post_x.sum() - n1 * pre_x.mean()) ** 2 / max(sxx, 1e-300))
     out = inference.cumulative_residual_interval(r["effect"], e[~post], n1, variance)
-    half = len(pre_x) // 2
-    slopes = [np.polyfit(pre_x[s], (np.array([x["treatment"] for x in rows])[~post])[s], 1)[0] for s in (slice(0, half), slice(half, None))] if len(pre_x) >= 8 else None
-    sd = e[~post].std()
-    diagnostics = {"slope": r["slope"], "intercept": r["intercept"], "outliers": int((np.abs(e[~post]) > 3 * sd).sum()) if sd else 0, "half_slopes": slopes}
+    pre_y = np.array([x["treatment"] for x in rows])[~post]
+    diagnostics = {"slope": r["slope"], "intercept": r["intercept"], "outliers": outlier_count(e[~post]), "half_slopes": half_slopes(pre_x, pre_y)}
     return Estimate("tbr", metric.name, r["effect"], out.interval, out.p_value, out.standard_error, diagnostics=diagnostics, artifacts={"gaps": e.tolist()}).with_lift(r["observed"])
 
 
+def half_slopes(x: np.ndarray, y: np.ndarray) -> list[float] | None:
+    """Slopes of y on x in the first and the second half of the dates; none for fewer than eight."""
+    half = len(x) // 2
+    return [float(np.polyfit(x[s], y[s], 1)[0]) for s in (slice(0, half), slice(half, None))] if len(x) >= 8 else None
+
+
+def outlier_count(residuals: np.ndarray) -> int:
+    """Residuals over three deviations from nothing."""
+    sd = residuals.std()
+    return int((np.abs(residuals) > 3 * sd).sum()) if sd else 0
+
+
+def calendar_features(times: list[Any], scale: float | None = None) -> tuple[np.ndarray, float]:
+    """Days since the first time, their square over ``scale`` (fixed by the fit) and weekdays as flags."""
+    days = np.array([(t - times[0]).days for t in times], float)
+    scale = max(1.0, days.max()) if scale is None else scale
+    return np.column_stack([days, (days / scale) ** 2, *[[float(t.weekday() == k) for t in times] for k in range(7)]]), scale
+
+
+def validation_periods(n_pre: int) -> int:
+    """Last dates of the pre-period that are held out: a quarter, 2 to 14, and none if fewer than four would remain."""
+    hold = max(2, min(14, n_pre // 4))
+    return 0 if n_pre - hold < 4 else hold
+
+
+def cumulative_parameter_variance(x_pre: np.ndarray, x_post: np.ndarray, residuals: np.ndarray, alpha: float) -> float:
+    """Variance of a summed ridge forecast that its coefficients cause, with correlated residuals."""
+    middle = x_pre.mean(0)
+    design = np.column_stack([np.ones(len(x_pre)), x_pre - middle])
+    bread = np.linalg.pinv(design.T @ design + alpha * np.diag([0.0] + [1.0] * x_pre.shape[1]))
+    reach = np.concatenate([[len(x_post)], (x_post - middle).sum(0)])
+    return inference.long_run_variance(residuals) * float(reach @ bread @ design.T @ design @ bread @ reach)
+
+
 def forecast(panel: GeoPanel, design: Design, metric: Metric, alpha: float = 1.0) -> Estimate:
     """Ridge on trend, squared trend and weekdays of the treated total; a terminal stretch is held out for residuals."""
     rows = arm_series(panel, design, metric).where("treatment is not null").orderBy("time").collect()
@@ -306,21 +341,17 @@ def forecast(panel: GeoPanel, design: Design, metric: Metric, alpha: float = 1.0
     n = int((~post).sum())
     if n < 8 or not post.any():
         raise EstimationError("eight pre-period dates are needed at least.")
-    days = np.array([(r["time"] - rows[0]["time"]).days for r in rows], float)
-    scale = max(1.0, days[:n].max())
-    x = np.column_stack([days, (days / scale) ** 2, *[[float(r["time"].weekday() == k) for r in rows] for k in range(7)]])
-    hold = max(2, min(14, n // 4))
-    hold = 0 if n - hold < 4 else hold
+    times = [r["time"] for r in rows]
+    _, scale = calendar_features(times[:n])
+    x, _ = calendar_features(times, scale)
+    hold = validation_periods(n)
     a, b = linear.ridge(x[: n - hold], y[: n - hold], alpha) if hold else (0.0, np.zeros(x.shape[1]))
     held = y[n - hold : n] - a - x[n - hold : n] @ b if hold else np.zeros(0)
     a, b = linear.ridge(x[:n], y[:n], alpha)
     e = y[:n] - a - x[:n] @ b
     residuals = held if len(held) >= 2 else e
     effect = float((y[post] - a - x[post] @ b).sum())
-    design_x = np.column_stack([np.ones(n), x[:n] - x[:n].mean(0)])
-    bread = np.linalg.pinv(design_x.T @ design_x + alpha * np.diag([0.0] + [1.0] * x.shape[1]))
-    reach = np.concatenate([[post.sum()], (x[post] - x[:n].mean(0)).sum(0)])
-    variance = inference.long_run_variance(e) * float(reach @ bread @ design_x.T @ design_x @ bread @ reach)
+    variance = cumulative_parameter_variance(x[:n], x[post], e, alpha)
     out = inference.cumulative_residual_interval(effect, residuals, int(post.sum()), variance)
     return Estimate("forecast", metric.name, effect, out.interval, out.p_value, out.standard_error, diagnostics={"held_out": hold, "rmse": float(np.sqrt((residuals**2).mean()))}).with_lift(float(y[post].sum()))
 
@@ -456,14 +487,10 @@ def _donor_estimate(name: str, metric: Metric, d: Donors, augment: bool, confide
     path, w = _path(d, d.treated, d.donors, augment=augment)
     gaps = d.treated - path
     pre = gaps[~d.post]
-    rmse = float(np.sqrt((pre**2).mean()))
-    level = float(np.abs(d.treated[~d.post]).mean())
-    x = d.donors[~d.post]
-    outside = float(((d.treated[~d.post] > x.max(1)) | (d.treated[~d.post] < x.min(1))).mean())
-    if rmse > 0.3 * max(level, 1e-12):
-        raise EstimationError(f"the donors miss the treated path before the test: RMSE {rmse:.4g}, level {level:.4g}.")
+    fit = pre_fit(d.treated[~d.post], d.donors[~d.post], path[~d.post])
+    check_pre_fit(fit)
     out = inference.conformal_inversion(gaps[d.post], pre, confidence)
-    diagnostics = {"pre_rmse": rmse, "relative_rmse": rmse / max(level, 1e-12), "outside_donors": outside, "hhi": float((w**2).sum()), "weights": dict(zip(d.names, w.tolist(), strict=True))}
+    diagnostics = {**fit, "hhi": float((w**2).sum()), "weights": dict(zip(d.names, w.tolist(), strict=True))}
     estimate = Estimate(name, metric.name, float(gaps[d.post].sum()), out.interval, out.p_value, diagnostics=diagnostics, artifacts={"counterfactual": path.tolist(), "gaps": gaps.tolist()})
     if out.interval is None and d.donors.shape[1] >= 3:
         null = placebo_in_donors(d, augment)
@@ -472,6 +499,19 @@ def _donor_estimate(name: str, metric: Metric, d: Donors, augment: bool, confide
     return estimate.with_lift(float(d.treated[d.post].sum()))
 
 
+def pre_fit(treated: np.ndarray, donors: np.ndarray, path: np.ndarray) -> dict[str, float]:
+    """How well a path follows the treated one before the test, and how often that lies outside all donors."""
+    rmse = float(np.sqrt(((treated - path) ** 2).mean()))
+    outside = float(((treated > donors.max(1)) | (treated < donors.min(1))).mean())
+    return {"pre_rmse": rmse, "relative_rmse": rmse / max(float(np.abs(treated).mean()), 1e-12), "outside_donors": outside}
+
+
+def check_pre_fit(fit: dict[str, float], most: float = 0.3) -> None:
+    """Raises if the error before the test is over this share of the level."""
+    if fit["relative_rmse"] > most:
+        raise EstimationError(f"the donors miss the treated path before the test: RMSE {fit['pre_rmse']:.4g}, {fit['relative_rmse']:.0%} of its level.")
+
+
 def placebo_in_donors(d: Donors, augment: bool = False) -> list[float]:
     """Effects found when each donor plays the treated market."""
     out = []
@@ -513,6 +553,24 @@ def _frank_wolfe(a: np.ndarray, b: np.ndarray, zeta: float, start: np.ndarray, r
     return w
 
 
+def eta_of_times(n0: int, t0: int) -> tuple[float, list[str]]:
+    """Regularisation of time weights, which grows where dates are many for the donors, and a warning."""
+    share = t0 / n0
+    return 1e-6 if share <= 8 else min(0.1, 0.01 * share / 8), ["many pre-period dates for few donors"] if share >= 10 else []
+
+
+def sparsified(w: np.ndarray) -> np.ndarray:
+    """Weights without those up to a quarter of the largest, adding up to one."""
+    w = np.where(w <= w.max() / 4, 0, w)
+    return w / w.sum()
+
+
+def collapsed(d: Donors) -> np.ndarray:
+    """Donors and, last, the treated path by pre date, with the mean of the post dates as last column."""
+    y = np.column_stack([d.donors, d.treated]).T
+    return np.column_stack([y[:, ~d.post], y[:, d.post].mean(1)])
+
+
 def synthetic_did(panel: GeoPanel, design: Design, metric: Metric, confidence: float = 0.95) -> Estimate:
     """Unit and time weights by Frank-Wolfe, fitted, sparsified and refitted; the effect is per post date."""
     d = donor_matrix(panel, design, metric)
@@ -521,39 +579,70 @@ def synthetic_did(panel: GeoPanel, design: Design, metric: Metric, confidence: f
     n1, t1 = len(design.treatment), int(d.post.sum())
     if n0 < 2 or t0 < 3:
         raise EstimationError("two donors and three pre-period dates are needed at least.")
-    y0 = d.donors[pre].T  # donors x pre dates
+    y = collapsed(d)
+    y0 = y[:-1, :-1]  # donors x pre dates
     noise = float(np.diff(y0, axis=1).std(ddof=1))
     least = 1e-5 * noise
-    ratio_ = t0 / n0
-    eta = 1e-6 if ratio_ <= 8 else min(0.1, 0.01 * ratio_ / 8)
+    eta, warnings = eta_of_times(n0, t0)
 
     def weights(a: np.ndarray, b: np.ndarray, zeta: float) -> np.ndarray:
         a, b = a - a.mean(0), b - b.mean()
         w = _frank_wolfe(a, b, zeta, np.full(a.shape[1], 1 / a.shape[1]), 100, least)
-        w = np.where(w <= w.max() / 4, 0, w)
-        return _frank_wolfe(a, b, zeta, w / w.sum(), 10_000, least)
+        return _frank_wolfe(a, b, zeta, sparsified(w), 10_000, least)
 
-    omega = weights(y0.T, d.treated[pre], (n1 * t1) ** 0.25 * noise)
-    lam = weights(y0, d.donors[d.post].mean(0), eta * noise)
+    omega = weights(y0.T, y[-1, :-1], (n1 * t1) ** 0.25 * noise)
+    lam = weights(y0, y[:-1, -1], eta * noise)
     shift = lam @ (d.treated[pre] - d.donors[pre] @ omega)
     path = d.donors @ omega + shift
     gaps = d.treated - path
     effect = float(gaps[d.post].mean())
     out = inference.conformal_inversion(gaps[d.post], gaps[pre], confidence)
     interval = tuple(x / t1 for x in out.interval) if out.interval else None
-    warnings = ["many pre-period dates for few donors"] if ratio_ >= 10 else []
     return Estimate("synthetic_did", metric.name, effect, interval, out.p_value, diagnostics={"omega": dict(zip(d.names, omega.tolist(), strict=True)), "lambda": lam.tolist(), "noise": noise}, artifacts={"counterfactual": path.tolist(), "gaps": gaps.tolist()}, warnings=warnings).with_lift(float(d.treated[d.post].mean()))
 
 
+def two_way_effects(m: np.ndarray) -> np.ndarray:
+    """Row mean plus column mean less the mean of all."""
+    return m.mean(1, keepdims=True) + m.mean(0, keepdims=True) - m.mean()
+
+
+def initial_fill(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Cells that aren't seen at their row's plus their column's less the overall mean of seen cells; rows or columns
+    without any count as average."""
+    base, fill = values[seen].mean(), np.where(seen, values, 0.0)
+    rows, cols = (np.where(seen.any(k), fill.sum(k) / np.maximum(seen.sum(k), 1), base) for k in (1, 0))
+    return np.where(seen, values, rows[:, None] + cols[None, :] - base)
+
+
+def held_out_error(values: np.ndarray, train: np.ndarray, held: np.ndarray, shrink: float, rank: int) -> float:
+    return float(((soft_impute(values, train, shrink, rank) - values)[tuple(held.T)] ** 2).mean())
+
+
+def select_penalty(values: np.ndarray, train: np.ndarray, held: np.ndarray, rank: int, steps: int = 12) -> float:
+    """Penalty of least error on the held-out cells, of a falling geometric grid."""
+    top = float(np.linalg.svd(np.where(train, values - values[train].mean(), 0), compute_uv=False)[0])
+    return float(min(np.geomspace(top, top * 1e-3, steps), key=lambda p: held_out_error(values, train, held, p, rank)))
+
+
+def select_rank(values: np.ndarray, train: np.ndarray, held: np.ndarray, most: int) -> int:
+    return min(range(1, most + 1), key=lambda k: held_out_error(values, train, held, 0.0, k))
+
+
+def block_mask_errors(values: np.ndarray, seen: np.ndarray, rows: np.ndarray, post: np.ndarray, fit: Callable[[np.ndarray], np.ndarray]) -> list[float]:
+    """Summed errors of each of ``rows`` when its post cells are hidden and completed."""
+    out = []
+    for i in rows:
+        mask = seen.copy()
+        mask[i, post] = False
+        out.append(float((values - fit(mask))[i, post].sum()))
+    return out
+
+
 def soft_impute(values: np.ndarray, seen: np.ndarray, shrink: float, rank: int, fixed_effects: bool = True, rounds: int = 500, tolerance: float = 1e-5) -> np.ndarray:
     """Low-rank completion with unpenalised row and column effects (shrinking) or of fixed rank (without shrinking)."""
-    base = values[seen].mean()
-    fill = np.where(seen, values, 0.0)
-    rows = np.where(seen.any(1), (fill.sum(1) / np.maximum(seen.sum(1), 1)), base)
-    cols = np.where(seen.any(0), (fill.sum(0) / np.maximum(seen.sum(0), 1)), base)
-    now = np.where(seen, values, rows[:, None] + cols[None, :] - base)
+    now = initial_fill(values, seen)
     for _ in range(rounds):
-        effects = now.mean(1, keepdims=True) + now.mean(0, keepdims=True) - now.mean() if fixed_effects else 0.0
+        effects = two_way_effects(now) if fixed_effects else 0.0
         u, s, vt = np.linalg.svd(now - effects, full_matrices=False)
         s = np.maximum(s - shrink, 0) if shrink else s
         s[rank:] = 0
@@ -581,28 +670,21 @@ def matrix_completion(panel: GeoPanel, design: Design, metric: Metric, hard_rank
     held = pre_cells[rng.choice(len(pre_cells), max(1, len(pre_cells) // 10), replace=False)]
     train = seen.copy()
     train[tuple(held.T)] = False
-    error = lambda fit: float(((fit - m0)[tuple(held.T)] ** 2).mean())
     if hard_rank:
-        best = min(range(1, rank + 1), key=lambda k: error(soft_impute(m0, train, 0.0, k)))
+        best = select_rank(m0, train, held, rank)
         fit = lambda mask: soft_impute(m0, mask, 0.0, best)
         chosen = {"rank": best}
     else:
-        top = float(np.linalg.svd(np.where(train, m0 - m0[train].mean(), 0), compute_uv=False)[0])
-        grid = [*np.geomspace(top, top * 1e-3, 12)]
-        penalty = min(grid, key=lambda p: error(soft_impute(m0, train, p, rank)))
+        penalty = select_penalty(m0, train, held, rank)
         fit = lambda mask: soft_impute(m0, mask, penalty, rank)
-        chosen = {"penalty": float(penalty)}
+        chosen = {"penalty": penalty}
     made = fit(seen)
     gaps = (m0 - made)[is_t].sum(0)
     effect = float(gaps[post].sum())
     out = inference.conformal_inversion(gaps[post], gaps[~post], confidence)
     interval, p = out.interval, out.p_value
     if interval is None:
-        null = []
-        for i in np.flatnonzero(~is_t):
-            mask = seen.copy()
-            mask[i, post] = False
-            null.append(float((m0 - fit(mask))[i, post].sum()) * is_t.sum())
+        null = [x * is_t.sum() for x in block_mask_errors(m0, seen, np.flatnonzero(~is_t), post, fit)]
         fallback = inference.empirical_interval(effect, null, confidence)
         interval, p = fallback.interval, fallback.p_value
     name = "generalized_synthetic_control" if hard_rank else "matrix_completion"
@@ -652,12 +734,22 @@ def paired_iroas(panel: GeoPanel, design: Design, response: str, spend: str, pai
     m = np.array([[r[2], r[3]] for r in kept])
     cov = np.cov(m.T, ddof=1) * len(kept)
     kind, sets = inference.fieller(up, down, cov[0, 0], cov[1, 1], cov[0, 1], confidence, len(kept) - 1)
-    snr = abs(down) / math.sqrt(max(cov[1, 1], 1e-300))
-    risk = "high" if kind != "bounded" or snr < 2 else "medium" if snr < 4 else "low"
-    sensitivity = {f: of(trimmed(rows, f)) for f in (0.0, 0.1, 0.2) if len(trimmed(rows, f)) >= 2}
+    risk = denominator_risk(down, cov[1, 1], kind)
+    sensitivity = trim_sensitivity(rows, of)
     return Estimate("paired_iroas", response, estimate, boot.interval, boot.p_value, boot.standard_error, diagnostics={"fieller": (kind, sets), "denominator_risk": risk, "sign_test": binomial_two_sided(sum(r[2] > 0 for r in kept), len(kept)), "trim": sensitivity, "pairs": [r[:2] for r in kept]})
 
 
+def denominator_risk(spend: float, variance: float, kind: str = "bounded") -> str:
+    """high, medium or low: how near the spend effect is to nothing, by its deviations."""
+    snr = abs(spend) / math.sqrt(max(variance, 1e-300))
+    return "high" if kind != "bounded" or snr < 2 else "medium" if snr < 4 else "low"
+
+
+def trim_sensitivity(rows: list[tuple], ratio_of: Callable[[list[tuple]], float], grid: tuple[float, ...] = (0.0, 0.1, 0.2)) -> dict[float, float]:
+    """The ratio at each trimmed share that leaves two pairs."""
+    return {f: ratio_of(kept) for f in grid if len(kept := trimmed(rows, f)) >= 2}
+
+
 def nearest_pairs(size: dict[str, float], design: Design) -> list[tuple[str, str]]:
     """Greedy: each treated market, in order, takes the nearest control that is left."""
     left, out = [c for c in design.control if c in size], []
@@ -695,6 +787,15 @@ ALIASES = {"difference_in_differences": "did", "sdid": "synthetic_did", "scm": "
 DEFAULT_SUITE = ("did", "ratio_delta", "block_bootstrap", "cuped", "synthetic_control", "synthetic_did", "tbr")
 
 
+def default_estimators(bayesian: bool = False) -> list[str]:
+    return [*DEFAULT_SUITE, *(["state_space"] if bayesian else [])]
+
+
+def estimator_names() -> list[str]:
+    """All names that ``estimator`` takes."""
+    return sorted({*ESTIMATORS, *ALIASES})
+
+
 def estimator(name: str) -> Callable[..., Estimate]:
     key = ALIASES.get(name, name)
     if key not in ESTIMATORS:

@@ -445,3 +445,25 @@ def jackknife_by(units: DataFrame, unit: str, treated: str, value: str) -> DataF
     d = F.when(F.col(treated) == 1, F.col("left") - F.col("m0")).otherwise(F.col("m1") - F.col("left"))
     n = F.count(F.lit(1))
     return rows.select(d.alias("d")).agg(F.sqrt((n - 1) * F.var_pop("d")).alias("standard_error"), n.alias("n"))
+
+
+def covariance_from_pairs(pairs: Sequence[tuple[float, float]]) -> float | None:
+    """Sample covariance of pairs; none for fewer than two."""
+    m = np.asarray([p for p in pairs if all(map(math.isfinite, p))], float)
+    return float(np.cov(m.T, ddof=1)[0, 1]) if len(m) >= 2 else None
+
+
+def leave_one_out_sensitivity(values: Sequence[Any], statistic: Callable[[list[Any]], float]) -> list[dict[str, float]]:
+    """The statistic without each unit, and how far that moves it, the most influential first."""
+    rows = list(values)
+    whole = statistic(rows)
+    out = [{"unit": i, "estimate": (left := statistic(rows[:i] + rows[i + 1 :])), "influence": whole - left} for i in range(len(rows))]
+    return sorted(out, key=lambda r: (-abs(r["influence"]), r["unit"]))
+
+
+def relative_interval(interval: Interval | None, observed_total: float) -> Interval | None:
+    """Ends of an effect's interval as lifts over what there would have been without it."""
+    if interval is None or not all(map(math.isfinite, interval)) or any(abs(observed_total - e) <= 1e-12 for e in interval):
+        return None
+    low, high = sorted(e / abs(observed_total - e) for e in interval)
+    return low, high

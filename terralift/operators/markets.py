@@ -125,6 +125,44 @@ def expand_units(units: DataFrame, ids: list[str]) -> list[str]:
 
 # ---- interference --------------------------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class InterferenceEdge:
+    """A tie between two markets."""
+
+    source: str
+    target: str
+    weight: float = 1.0
+    distance: float | None = None
+
+
+@dataclass(frozen=True)
+class Supergeo:
+    """Markets that are assigned as one."""
+
+    unit: str
+    markets: tuple[str, ...]
+    volume: float
+    labels: dict[str, str] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, units: DataFrame) -> list[Supergeo]:
+        """One for each row of ``supergeos``; units are fewer than markets."""
+        return [cls(r["unit"], tuple(r["markets"]), r["volume"], {"part": r["unit"].rsplit(":", 1)[0]}) for r in units.orderBy("unit").collect()]
+
+
+@dataclass(frozen=True)
+class MatchedPair:
+    """Two markets that are alike."""
+
+    first: str
+    second: str
+    distance: float
+    exact_match_key: str | None = None
+
+    def other(self, market: str) -> str:
+        return self.second if market == self.first else self.first
+
+
 SOURCE_NAMES, TARGET_NAMES = ("source", "from", "left", "market_a", "geo_a"), ("target", "to", "right", "market_b", "geo_b")
 
 
@@ -198,6 +236,19 @@ class MarketGraph:
         return [{"spillover": s, "bias": -mean * s, "adjusted": effect + mean * s} for s in grid]
 
 
+def graph_from_spec(spark: SparkSession, spec: Any, panel: GeoPanel | None = None) -> MarketGraph | None:
+    """The graph that a specification names: its adjacency file, else its distances, else its exposures, else the
+    panel's states and regions; none if its mode is off."""
+    if spec.mode == "none":
+        return None
+    for path, how in ((spec.adjacency_path, {}), (spec.distance_path, {}), (spec.exposure_path, {"weight": "exposure", "directed": True})):
+        if path:
+            return MarketGraph.from_path(spark, path, **how)
+    if panel is None:
+        raise ValidationError("the specification names no file and there is no panel.", "Give one of them.")
+    return MarketGraph.from_metadata(panel)
+
+
 # ---- policies ------------------------------------------------------------------------------------------------
 
 
@@ -295,6 +346,26 @@ class Policy:
         return list(out)
 
 
+@dataclass(frozen=True)
+class ListedPolicy(Policy):
+    """One of listed assignments; any object with ``feasible``, ``enumerate`` and ``sample`` can stand in for a policy."""
+
+    listed: tuple[tuple[str, ...], ...] = ()
+
+    def feasible(self, treated: Iterable[str]) -> bool:
+        return tuple(sorted(treated)) in self.listed
+
+    def every(self) -> Iterator[tuple[str, ...]]:
+        return iter(self.listed)
+
+    def count(self) -> int:
+        return len(self.listed)
+
+    def sample(self, n: int, seed: int = 0) -> list[tuple[str, ...]]:
+        order = np.random.default_rng(seed).permutation(len(self.listed))[:n]
+        return [self.listed[i] for i in sorted(order)]
+
+
 def smd(value: Column, treated: Column) -> Column:
     """Standardised mean difference; without spread zero, or infinite if the means differ."""
     t, c = F.when(treated, value), F.when(~treated, value)

@@ -76,6 +76,12 @@ def mde_from_curve(points: list[tuple[float, float]], target: float = 0.8) -> fl
     return next((lift for lift, power in points if power >= target), points[-1][0])
 
 
+def power_curve(points: list[tuple[float, float]] | dict[float, float]) -> list[dict[str, float]]:
+    """Points (lift, power) as rows in order of the lift."""
+    pairs = points.items() if isinstance(points, dict) else points
+    return [{"lift": float(x), "power": float(p)} for x, p in sorted(pairs)]
+
+
 Fit = Callable[[GeoPanel, Design, Metric], Estimate]
 
 
@@ -139,10 +145,20 @@ def placebo_in_time(panel: GeoPanel, design: Design, metric: Metric, name: str,
 NO_SPACE = frozenset({"paired_iroas"})
 
 
+def placebo_applies(name: str, where: str) -> bool:
+    """Whether placebos in ``time`` or in ``space`` say anything of an estimator."""
+    return where == "time" or name not in NO_SPACE
+
+
+def not_applicable(name: str, metric: str, where: str, reason: str = "its pairs leave no market to play the treated one") -> dict[str, Any]:
+    """A row that says why a check was left out."""
+    return {"estimator": name, "metric": metric, "method": f"placebo_in_{where}", "n": 0, "errors": 0, "status": "not_applicable", "reason": reason}
+
+
 def placebo_in_space(panel: GeoPanel, design: Design, metric: Metric, name: str, alpha: float = 0.05) -> dict[str, Any]:
     """Each control plays the treated market; the treated ones stay out."""
-    if name in NO_SPACE:
-        return {"n": 0, "status": "not_applicable"}
+    if not placebo_applies(name, "space"):
+        return not_applicable(name, metric.name, "space")
     out, errors = [], 0
     for g in design.control:
         rest = tuple(c for c in design.control if c != g)

@@ -41,6 +41,10 @@ class Blackout(Strict):
     start: date
     end: date
 
+    def overlaps(self, start: date, end: date) -> bool:
+        """Inclusive windows that meet."""
+        return self.start <= end and start <= self.end
+
 
 class TestSpec(Strict):
     __test__ = False
@@ -75,6 +79,142 @@ class TestSpec(Strict):
         return self
 
 
+class EstimatorSuiteSpec(Strict):
+    """Estimators of a test, and which one decides, for all metrics or by metric."""
+
+    estimators: list[str] = Field(default_factory=lambda: ["did", "ratio_delta", "block_bootstrap", "cuped", "synthetic_control"])
+    primary_estimator: str = "did"
+    primary_estimators: dict[str, str] = Field(default_factory=dict)
+    optional_backend_policy: Literal["error", "skip"] = "error"
+    include_experimental: bool = False
+    backend_overrides: dict[str, str] = Field(default_factory=dict)
+    parameters: dict[str, dict[str, Any]] = Field(default_factory=dict)
+
+    def primary_for(self, metric: str) -> str:
+        return self.primary_estimators.get(metric, self.primary_estimator)
+
+
+class InferenceEngineSpec(Strict):
+    methods: list[str] = Field(default_factory=lambda: ["estimator_default"])
+    primary_method: str | None = None
+    confidence: float = Field(0.95, gt=0, lt=1)
+    randomization_samples: int = Field(5000, gt=0)
+    bootstrap_samples: int = Field(1000, gt=0)
+    multiplicity: Literal["none", "bonferroni", "holm", "benjamini_hochberg"] = "holm"
+    seed: int = 2027
+
+    @model_validator(mode="after")
+    def primary_is_listed(self) -> InferenceEngineSpec:
+        if self.primary_method is not None and self.primary_method not in self.methods:
+            raise ValueError(f"primary method {self.primary_method!r} isn't among {self.methods}")
+        return self
+
+
+class CalibrationSpec(Strict):
+    """Checks of an estimator; of the effect shapes only the constant one is put in."""
+
+    placebo_windows: int = Field(0, ge=0)
+    injected_lifts: list[float] = Field(default_factory=list)
+    effect_shapes: list[Literal["constant", "ramp", "decay"]] = Field(default_factory=lambda: ["constant"])
+    target_false_positive_rate: float = Field(0.05, gt=0, lt=1)
+    seed: int = 2027
+
+
+class MonitoringPlanSpec(Strict):
+    mode: Literal["none", "fixed_horizon", "group_sequential", "anytime_valid"] = "none"
+    look_dates: list[date] = Field(default_factory=list)
+    information_fractions: list[float] = Field(default_factory=list)
+    lower_bound: float | None = None
+    upper_bound: float | None = None
+    alpha_spending: Literal["none", "obrien_fleming", "pocock"] = "none"
+
+    @model_validator(mode="after")
+    def both_bounds(self) -> MonitoringPlanSpec:
+        if (self.lower_bound is None) != (self.upper_bound is None):
+            raise ValueError("give both bounds or none")
+        if self.lower_bound is not None and not self.lower_bound < self.upper_bound:
+            raise ValueError("the bounds are out of order")
+        if any(not 0 < f <= 1 for f in self.information_fractions):
+            raise ValueError("information fractions lie above 0, up to 1")
+        return self
+
+
+class InterferenceSpec(Strict):
+    mode: Literal["none", "adjacency", "distance", "exposure", "metadata"] = "none"
+    adjacency_path: str | None = None
+    distance_path: str | None = None
+    exposure_path: str | None = None
+    buffer_radius: float | None = Field(None, ge=0)
+    exclude_buffer_controls: bool = True
+
+
+class PortfolioDecisionSpec(Strict):
+    metric_roles: dict[str, str] = Field(default_factory=dict)
+    multiplicity_family: str | None = None
+    success_metrics: list[str] = Field(default_factory=list)
+    guardrail_metrics: list[str] = Field(default_factory=list)
+    minimum_business_impact: dict[str, float] = Field(default_factory=dict)
+    posterior_thresholds: dict[str, float] = Field(default_factory=dict)
+
+    def role_of(self, metric: str) -> str:
+        named = self.metric_roles.get(metric)
+        return named or ("primary" if metric in self.success_metrics else "guardrail" if metric in self.guardrail_metrics else "diagnostic")
+
+
+class FrameworkSpec(Strict):
+    """The question a test answers; ``test_type`` and ``margin`` are older names of ``kind`` and ``default_margin``."""
+
+    kind: Literal["superiority", "non_inferiority", "equivalence", "inferiority", "two_sided"] = "superiority"
+    effect_scale: Literal["relative", "absolute"] = "relative"
+    margins: dict[str, float] = Field(default_factory=dict)
+    default_margin: float = 0.0
+    alpha: float = Field(0.05, gt=0, lt=1)
+    posterior_probability_threshold: float = Field(0.95, gt=0, lt=1)
+
+    @model_validator(mode="before")
+    @classmethod
+    def older_names(cls, data: Any) -> Any:
+        if isinstance(data, dict):
+            data = {{"test_type": "kind", "margin": "default_margin"}.get(k, k): v for k, v in data.items()}
+        return data
+
+    def margin_of(self, metric: str) -> float:
+        return self.margins.get(metric, self.default_margin)
+
+
+class ObjectiveSpec(Strict):
+    mode: Literal["mde", "learning", "balanced"] = "balanced"
+    metric_weights: dict[str, float] = Field(default_factory=dict)
+    mde_penalty: float = Field(1.0, ge=0)
+    control_overuse_penalty: float = Field(0.0, ge=0)
+    learning_value_weight: float = Field(0.0, ge=0)
+    covariance_risk_penalty: float = Field(0.0, ge=0)
+    calendar_overlap_penalty: float = Field(0.0, ge=0)
+
+
+class PowerSpec(Strict):
+    target_power: float = Field(0.8, gt=0, lt=1)
+    alpha: float = Field(0.05, gt=0, lt=1)
+    lift_grid: list[float] = Field(default_factory=lambda: [0.01, 0.02, 0.05, 0.1])
+    placebo_windows: int = Field(20, gt=0)
+    method: Literal["analytic", "replay"] = "analytic"
+    replay_estimator: str = "did"
+
+
+class RoadmapDefaults(Strict):
+    overlap_policy: Literal["exclusive", "shared_controls"] = "shared_controls"
+    min_control_markets: int = Field(5, gt=0)
+    max_shared_control_usage: int = Field(3, gt=0)
+    treatment_cooldown_days: int = Field(0, ge=0)
+    min_treatment_share: float = Field(0.05, gt=0, lt=1)
+    max_treatment_share: float = Field(0.20, gt=0, lt=1)
+    candidates_per_test: int = Field(50, gt=0)
+
+    def treatment_counts(self, markets: int) -> tuple[int, int]:
+        """Least and most treated markets."""
+        return max(1, round(self.min_treatment_share * markets)), max(1, round(self.max_treatment_share * markets))
+
+
 class RoadmapSpec(Strict):
     name: str
     metrics: dict[str, dict[str, Any]]
@@ -155,3 +295,7 @@ def read_config(path: str, spark: SparkSession | None = None) -> Any:
     import yaml
 
     return yaml.safe_load(text)
+
+
+#: What ``schema`` can describe.
+MODELS: dict[str, type[BaseModel]] = {"roadmap": RoadmapSpec, "test": TestSpec, "completed": CompletedSpec, "suite": EstimatorSuiteSpec, "inference": InferenceEngineSpec, "calibration": CalibrationSpec, "monitoring": MonitoringPlanSpec, "interference": InterferenceSpec, "decision": PortfolioDecisionSpec, "framework": FrameworkSpec, "objective": ObjectiveSpec, "power": PowerSpec, "defaults": RoadmapDefaults}
