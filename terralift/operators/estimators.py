@@ -614,6 +614,20 @@ def initial_fill(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return np.where(seen, values, rows[:, None] + cols[None, :] - base)
 
 
+def additive_fit(values: np.ndarray, seen: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """Row plus column effects that fit the seen cells best, by alternating means; nothing is known of a row or column
+    without any."""
+    v, n_row, n_col = np.where(seen, values, 0.0), np.maximum(seen.sum(1), 1), np.maximum(seen.sum(0), 1)
+    rows, cols = np.zeros(len(values)), np.zeros(values.shape[1])
+    for _ in range(rounds):
+        before = rows
+        cols = (v.sum(0) - seen.T @ rows) / n_col
+        rows = (v.sum(1) - seen @ cols) / n_row
+        if np.abs(rows - before).max() <= 1e-12 * max(1.0, np.abs(rows).max()):
+            break
+    return rows[:, None] + cols[None, :]
+
+
 def held_out_error(values: np.ndarray, train: np.ndarray, held: np.ndarray, shrink: float, rank: int) -> float:
     return float(((soft_impute(values, train, shrink, rank) - values)[tuple(held.T)] ** 2).mean())
 
@@ -640,7 +654,8 @@ def block_mask_errors(values: np.ndarray, seen: np.ndarray, rows: np.ndarray, po
 
 def soft_impute(values: np.ndarray, seen: np.ndarray, shrink: float, rank: int, fixed_effects: bool = True, rounds: int = 500, tolerance: float = 1e-5) -> np.ndarray:
     """Low-rank completion with unpenalised row and column effects (shrinking) or of fixed rank (without shrinking)."""
-    now = initial_fill(values, seen)
+    # a fixed rank keeps whatever block it starts from, so it starts from the best additive fit
+    now = initial_fill(values, seen) if shrink else np.where(seen, values, additive_fit(values, seen))
     for _ in range(rounds):
         effects = two_way_effects(now) if fixed_effects else 0.0
         u, s, vt = np.linalg.svd(now - effects, full_matrices=False)
