@@ -18,6 +18,8 @@ EXPERIMENTS = "experiment_id string, name string, domain string, status string,
 ASSIGNMENTS = "experiment_id string, geo_id string, role string, start_date date, end_date date, status string, cooldown_until date, metadata string"
 ARTIFACTS = "experiment_id string, artifact_type string, uri string, manifest string"
 STATUSES = ("planned", "active", "cooldown", "completed", "cancelled")
+#: Days of a stretch that intervals are joined by.
+STEP_DAYS = 32
 ROLES = ("treatment", "control", "eligible_control", "excluded", "unused")
 
 
@@ -181,9 +183,13 @@ def expand_assignments(experiments: DataFrame) -> DataFrame:
 
 def role_conflicts(new: DataFrame, every: DataFrame) -> DataFrame:
     """Active rows of ``new`` whose market has the opposite role in another active experiment at the same time."""
-    a = new.where(F.col("status") == "active").where(F.col("role").isin(TREATMENT, CONTROL)).select("experiment_id", "geo_id", "role", "start_date", "end_date")
-    b = every.where(F.col("status") == "active").where(F.col("role").isin(TREATMENT, CONTROL)).select(F.col("experiment_id").alias("other_id"), "geo_id", F.col("role").alias("other_role"), F.col("start_date").alias("s"), F.col("end_date").alias("e"))
-    return a.join(b, "geo_id").where((F.col("role") != F.col("other_role")) & (F.col("experiment_id") != F.col("other_id")) & overlaps(F.col("start_date"), F.col("end_date"), F.col("s"), F.col("e")))
+    step = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01")) / STEP_DAYS)
+    steps = lambda s, e: F.explode(F.sequence(step(s), step(e))).alias("__step")
+    a = new.where(F.col("status") == "active").where(F.col("role").isin(TREATMENT, CONTROL)).select("experiment_id", "geo_id", "role", "start_date", "end_date", steps(F.col("start_date"), F.col("end_date")))
+    b = every.where(F.col("status") == "active").where(F.col("role").isin(TREATMENT, CONTROL)).select(F.col("experiment_id").alias("other_id"), "geo_id", F.col("role").alias("other_role"), F.col("start_date").alias("s"), F.col("end_date").alias("e"), steps(F.col("start_date"), F.col("end_date")))
+    # rows meet by market and stretch of days; a pair counts in the stretch of its later start, which both have
+    once = step(F.greatest("start_date", "s")) == F.col("__step")
+    return a.join(b, ["geo_id", "__step"]).where((F.col("role") != F.col("other_role")) & (F.col("experiment_id") != F.col("other_id")) & overlaps(F.col("start_date"), F.col("end_date"), F.col("s"), F.col("e")) & once).drop("__step")
 
 
 def merge_experiments(rows: DataFrame) -> DataFrame:
