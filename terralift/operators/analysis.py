@@ -163,16 +163,22 @@ def planned_looks(n: int, shares: list[float]) -> list[int]:
     return sorted({min(n, max(1, math.ceil(x * n))) for x in shares}) or list(range(1, n + 1))
 
 
-def monitoring(panel: GeoPanel, design: Design, metric: Metric, looks: list[float], bounds: tuple[float, float] | None = None, alpha: float = 0.05) -> dict[str, Any]:
-    """Confidence sequence and e-values at the planned looks (shares of the post period), valid however often one looks."""
+def monitoring(panel: GeoPanel, design: Design, metric: Metric, looks: list[float], bounds: tuple[float, float] | None = None, alpha: float = 0.05, widen: bool = True) -> dict[str, Any]:
+    """Confidence sequence and e-values at the planned looks (shares of the post period), valid however often one looks.
+
+    Observations outside the bounds end that guarantee, and a warning says so; ``widen`` then widens the bounds, else
+    given ones stay as declared.
+    """
     gaps = daily_gaps(panel, design, metric)
     r = gaps.agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("a"), F.max("gap").alias("b"), F.max("low").alias("low"), F.max("high").alias("high")).first()
     if not r["n"]:
         raise EstimationError("no post-period dates.")
     (low, high), warnings = monitoring_bounds((r["a"], r["b"]), bounds or (r["low"], r["high"]))
+    if warnings and bounds and not widen:
+        (low, high), warnings = bounds, ["observations left the declared bounds, which were kept"]
     rows = gaps.withColumn("k", F.lit(0))
     seq = inference.confidence_sequence(rows, ["k"], "time", "gap", low, high, alpha)
-    e = inference.e_values(rows, ["k"], "time", "gap", low, high, bet=1 / max(high - low, 1e-9), two_sided=True).select("look", "e_value", "p_value")
+    e = inference.e_values(rows, ["k"], "time", "gap", low, high, bet=None, two_sided=True).select("look", "e_value", "p_value")
     at = planned_looks(r["n"], looks)
     found = seq.join(e, "look").where(F.col("look").isin(at)).orderBy("look").collect()
     return {"looks": [x.asDict() for x in found], "bounds": (low, high), "warnings": warnings}

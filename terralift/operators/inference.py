@@ -369,12 +369,16 @@ def confidence_sequence(df: DataFrame, keys: list[str], order: str, value: str,
     return df.select(*keys, order, t.cast("long").alias("look"), mean.alias("mean"), F.greatest(mean - radius, F.lit(float(low))).alias("lower"), F.least(mean + radius, F.lit(float(high))).alias("upper"))
 
 
-def e_values(df: DataFrame, keys: list[str], order: str, value: str, low: float, high: float, null: float = 0.0, bet: float = 1.0, two_sided: bool = False) -> DataFrame:
-    """Running e-value exp(bet S - t bet^2 w^2 / 8) of values less ``null``; its running maximum gives an anytime p."""
+def e_values(df: DataFrame, keys: list[str], order: str, value: str, low: float, high: float, null: float = 0.0, bet: float | None = 1.0, two_sided: bool = False) -> DataFrame:
+    """Running e-value exp(bet S - t bet^2 w^2 / 8) of values less ``null``; its running maximum gives an anytime p.
+
+    Without a ``bet`` it is 1 / w, by division: at large S a rounded factor would show in the exponent.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     t, s, width = F.row_number().over(w).cast("double"), F.sum(F.col(value) - null).over(run), high - low
-    one = lambda sign: F.exp(F.least(F.lit(709.0), F.greatest(F.lit(-745.0), sign * bet * s - t * (bet * bet * width * width / 8))))
+    part, cost = (s / max(width, 1e-9), 1 / 8) if bet is None else (bet * s, bet * bet * width * width / 8)
+    one = lambda sign: F.exp(F.least(F.lit(709.0), F.greatest(F.lit(-745.0), sign * part - t * cost)))
     e = (one(1.0) + one(-1.0)) / 2 if two_sided else one(1.0)
     rows = df.select(*keys, order, t.cast("long").alias("look"), e.alias("e_value"))
     most = F.max("e_value").over(Window.partitionBy(*keys).orderBy("look").rowsBetween(Window.unboundedPreceding, 0))

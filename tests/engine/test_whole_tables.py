@@ -1,5 +1,6 @@
 """Registered queries over small tables, against plain Python over every row."""
 
+import math
 from collections import defaultdict
 from datetime import date, datetime, timedelta
 
@@ -7,6 +8,7 @@ import pytest
 
 from terralift.plans.assignment_queries import QUERIES as ASSIGNMENTS
 from terralift.plans.extra_queries import QUERIES as EXTRA
+from terralift.plans.method_queries import QUERIES as METHODS
 from terralift.plans.portfolio_queries import QUERIES as PORTFOLIO
 
 NATIONS = 6
@@ -61,3 +63,22 @@ def test_no_date_prefix(spark, folder, tmp_path):
     events = [(datetime(2024, 1, day), u, "purchase", 1.0) for u in (1, 2) for day in range(1, 11) for _ in range(2 if u == 1 or day < 9 else 1)]
     spark.createDataFrame(events, "ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     assert {r["geo_id"]: r["monotone"] for r in EXTRA["metric_lift_monotone"](spark, str(tmp_path)).collect()} == {"1": True, "2": False}
+
+
+def test_monitoring_keeps_declared_bounds(spark, tmp_path):
+    """Sixty times the usual daily gaps leave the bounds of 50; SQL's stay, and so do the query's."""
+    orders = lambda u, day: 400 + 7 * u + day * (u + 3) % 11 + (190 if u in (1, 4, 7) and day >= 15 else 0)
+    spark.createDataFrame([(u, day, orders(u, day)) for u in range(10) for day in range(1, 31)], "u long, day int, n int").selectExpr("u AS user_id", "timestampadd(DAY, day - 1, TIMESTAMP '2024-01-01') AS ts", "'purchase' AS event_type", "1.0D AS value", "explode(sequence(1, n))").drop("col").write.parquet(str(tmp_path / "events.parquet"))
+    gap = {day: sum(orders(u, day) for u in (1, 4, 7)) / 3 - sum(orders(u, day) for u in (0, 2, 3, 5, 6, 8, 9)) / 7 for day in range(1, 31)}
+    level = sum(gap[day] for day in range(1, 15)) / 14
+    x, most = [gap[day] - level for day in range(15, 31)], 0.0
+    assert min(x) > 100
+    found = {r["look"]: r for r in METHODS["analysis_monitoring"](spark, str(tmp_path)).collect()}
+    assert set(found) == {4, 8, 16}
+    for look in range(1, 17):
+        s = sum(x[:look])
+        e = (math.exp(s / 100 - look / 8) + math.exp(-s / 100 - look / 8)) / 2
+        most = max(most, e)
+        if r := found.get(look):
+            lower = max(s / look - 100 * math.sqrt(math.log(2 * look * (look + 1) / 0.05) / (2 * look)), -50)
+            assert [r["mean"], r["lower"], r["e_value"], r["p_value"]] == pytest.approx([s / look, lower, e, min(1, 1 / most)], rel=1e-7, abs=1e-6)
