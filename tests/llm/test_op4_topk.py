@@ -86,3 +86,26 @@ def test_small_k(spark, k):
     rows = [(i, [float(i % 4), 1.0]) for i in range(30)]
     df = table(spark, rows)
     assert found(exact_topk(df, df, k=k, query_tile=4, data_tile=4, fan_in=3)) == plain(rows, lambda i: True, k)
+
+
+def test_no_side_is_broadcast(spark):
+    """Tiles of queries once grew by a copy for each tile of vectors after Spark had taken their size for a broadcast."""
+    rows = list(enumerate(vectors(5, 200)))
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    df = table(spark, rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        best = exact_topk(df.where("vec_id % 5 = 0"), df, k=5, query_tile=8, data_tile=16)
+        assert found(best) == plain(rows, lambda i: i % 5 == 0, 5)
+        assert "Broadcast" not in best._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_blocks_ties_and_floods(spark):
+    rows = [(i, [float(i // 40), 1.0, -1.0]) for i in range(400)]  # every tile better than the one before, and ties
+    rows += [(1000 - i, [9.0, 1.0, -1.0]) for i in range(300)]
+    df = table(spark, rows)
+    got = found(exact_topk(df.where("vec_id % 3 = 0"), df, k=2, query_tile=4, data_tile=128, block_bytes=256))
+    assert got == plain(rows, lambda i: i % 3 == 0, 2)
